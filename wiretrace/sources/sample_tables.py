@@ -186,12 +186,16 @@ def network_events(spark: SparkSession, sf_dir: str, with_params: bool = True) -
     columns, as a stored events table has them, so that aggregations which need
     only these never parse the params text.
     """
-    raw = load(spark, sf_dir, "events")
-    cols = {n: e.format(**_SPARK) for n, e in {**SAMPLE_EVENT_COLUMNS, **SAMPLE_PARAM_COLUMNS}.items()}
+    # k, day and ticks are computed once below, so the CASE expressions stay cheap
+    raw = load(spark, sf_dir, "events").select(
+        "event_id", "user_id", "event_type", "value", *[F.expr(e).alias(n) for n, e in _SPARK.items()]
+    )
+    names = {n: n for n in _SPARK}
+    cols = {n: e.format(**names) for n, e in {**SAMPLE_EVENT_COLUMNS, **SAMPLE_PARAM_COLUMNS}.items()}
     events = raw.select(
         *[F.expr(e).alias(n) for n, e in cols.items()],
-        F.expr(SAMPLE_DEPENDENCY.format(**_SPARK)).alias("dep_id"),
-        F.expr(_SPARK["k"]).alias("k"),
+        F.expr(SAMPLE_DEPENDENCY.format(**names)).alias("dep_id"),
+        "k",
         "user_id",
         "event_type",
     )
