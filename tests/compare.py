@@ -43,12 +43,12 @@ def normal(columns, rows):
     return [columns[i] for i in order], sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
-def diff(spark_df, con, sql):
+def diff(columns, rows, con, sql):
     """None when equal, else a short description."""
     duck = con.execute(sql)
     names = [d[0] for d in duck.description]
     want_cols, want = normal(names, duck.fetchall())
-    got_cols, got = normal(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    got_cols, got = normal(columns, [tuple(r) for r in rows])
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
     if len(got) != len(want):

@@ -20,15 +20,19 @@ if __name__ == "__main__":
         if wanted and not any(w in name for w in wanted):
             continue
         start = time.time()
+        spent = 0.0
         try:
             df = fn(spark, sf_dir)
             if name in sql:
-                problem = diff(df, con, sql[name])
+                rows = df.collect()
+                spent = time.time() - start
+                problem = diff(df.columns, rows, con, sql[name])
             else:
                 n = df.count()
+                spent = time.time() - start
                 problem = None if n else "no rows"
         except Exception as error:  # report and go on with the next query
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         failures += problem is not None
-        print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.2f}s {'' if name in sql else '(rows only)'} {problem or ''}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {name} {spent:.2f}s {'' if name in sql else '(rows only)'} {problem or ''}", flush=True)
     print("failures:", failures)

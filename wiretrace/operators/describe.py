@@ -107,8 +107,10 @@ def _versions(events: DataFrame) -> DataFrame:
     """One row per source and change of start event."""
     facts = _facts(events)
     order = Window.partitionBy(*SOURCE_KEY).orderBy("eval_index")
-    # cut on the map side to two rows per source
-    heads = facts.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= 2)
+    # two passes over the events, each reduced and written before it is used again:
+    # two rows per source (cut on the map side), and the few rows that can move a start
+    heads = cut_lineage(facts.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= 2))
+    candidates = cut_lineage(facts.where(F.col("type_name").isin("FILE_STREAM_OPEN", *DOWNLOAD_NAME_FIELDS)))
     of_source = Window.partitionBy(*SOURCE_KEY)
     first = F.when(F.col("rn") == 1, F.struct("type_name", "source_type_name", "parent_id"))
     heads = heads.withColumn("first", F.first(first, ignorenulls=True).over(of_source)).where(
@@ -128,8 +130,7 @@ def _versions(events: DataFrame) -> DataFrame:
         .when(name == "DOWNLOAD_ITEM_ACTIVE", F.lit(1))
     )
     moves = (
-        facts.where(name.isin("FILE_STREAM_OPEN", *DOWNLOAD_NAME_FIELDS))
-        .join(origin, list(SOURCE_KEY))
+        candidates.join(origin, list(SOURCE_KEY))
         .withColumn("stage", stage)
         .where(F.col("stage").isNotNull())
     )
@@ -148,7 +149,7 @@ def _versions(events: DataFrame) -> DataFrame:
     # a default start event counts until the first move; at a move itself the move counts
     heads = heads.join(firsts, list(SOURCE_KEY), "left").where(index < F.least(at[1], at[2], at[3]))
     columns = [*SOURCE_KEY, "eval_index", "type_name", "source_type_name", "text", "parent_id", "has_address", "first"]
-    return heads.select(*columns).unionByName(moves.select(*columns))
+    return cut_lineage(heads.select(*columns).unionByName(moves.select(*columns)))
 
 
 def _with_parents(versions: DataFrame, bucket_rows: int) -> DataFrame:

@@ -62,6 +62,11 @@ def _sampled_rates(step=STEP):
       GROUP BY g.capture_id, s.series, g.i)"""
 
 
+def _fixed(value, digits):
+    # half up on the shortest decimal text of the double
+    return f"printf('%.{digits}f', CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 15)), {digits}) AS DOUBLE))"
+
+
 def _windows(ev):
     return t.timeline_range(ev).select("capture_id", "start_ms")
 
@@ -169,8 +174,9 @@ def timeline_range(spark, sf_dir):
     {_grid_cte(1, 3600000.0)},
     samples AS (SELECT * FROM {_SAMPLED_COUNTS} q UNION ALL SELECT * FROM {_sampled_rates(3600000.0)} q)
     SELECT capture_id, series, kind, sample_ms, round(value, 6) AS value, CASE
-      WHEN kind = 'count' THEN printf('%.0f', value) WHEN value >= 1048576 THEN printf('%.1f MB/s', value / 1048576)
-      WHEN value >= 1024 THEN printf('%.1f kB/s', value / 1024) ELSE printf('%.0f B/s', value) END AS shown FROM samples""",
+      WHEN kind = 'count' THEN {_fixed('value', 0)} WHEN value >= 1048576 THEN {_fixed('value / 1048576', 1)} || ' MB/s'
+      WHEN value >= 1024 THEN {_fixed('value / 1024', 1)} || ' kB/s' ELSE {_fixed('value', 0)} || ' B/s' END AS shown
+    FROM samples""",
 )
 def values_at(spark, sf_dir):
     ev = events(spark, sf_dir)
@@ -199,9 +205,9 @@ def sources_active_at(spark, sf_dir):
 
 @query(
     "format_rate",
-    """SELECT o_orderkey, CASE WHEN o_totalprice * 10 >= 1048576 THEN printf('%.1f MB/s', o_totalprice * 10 / 1048576)
-      WHEN o_totalprice * 10 >= 1024 THEN printf('%.1f kB/s', o_totalprice * 10 / 1024)
-      ELSE printf('%.0f B/s', o_totalprice * 10) END AS shown FROM orders""",
+    f"""SELECT o_orderkey, CASE WHEN o_totalprice * 10 >= 1048576 THEN {_fixed('o_totalprice * 10 / 1048576', 1)} || ' MB/s'
+      WHEN o_totalprice * 10 >= 1024 THEN {_fixed('o_totalprice * 10 / 1024', 1)} || ' kB/s'
+      ELSE {_fixed('o_totalprice * 10', 0)} || ' B/s' END AS shown FROM orders""",
 )
 def format_rate(spark, sf_dir):
     from ..functions.text import format_rate as rate
