@@ -92,9 +92,16 @@ def to_number(value: Column) -> Column:
 
 
 def number_text(number: Column) -> Column:
-    """Decimal text of a double: whole numbers without a fraction."""
-    whole = (number == F.floor(number)) & (F.abs(number) < 9.0e15)
-    return F.when(whole, number.try_cast("bigint").cast("string")).otherwise(number.cast("string"))
+    """Decimal text of a double: whole numbers without a fraction, no exponent for
+    magnitudes from 1e-6 to 1e20."""
+    size = F.abs(number)
+    whole = (number == F.floor(number)) & (size < 9.0e15)
+    plain = F.regexp_replace(number.try_cast("decimal(38,17)").cast("string"), r"\.?0+$", "")
+    return (
+        F.when(whole, number.try_cast("bigint").cast("string"))
+        .when((size >= 1.0e-6) & (size < 1.0e20), plain)
+        .otherwise(number.cast("string"))
+    )
 
 
 def _scalar_text(value: Column) -> Column:

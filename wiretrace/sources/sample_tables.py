@@ -42,6 +42,7 @@ EVENT_TYPES = (
     "UDP_BYTES_RECEIVED",
     "UDP_BYTES_SENT",
     "FAILED",
+    "SSL_CERTIFICATES_RECEIVED",
 )
 PHASES = ("PHASE_NONE", "PHASE_BEGIN", "PHASE_END")
 
@@ -77,6 +78,7 @@ _ERROR_TYPE = (
     "CASE WHEN user_id % 7 = 1 AND {k} % 4 = 1 THEN 'SOCKET_BYTES_RECEIVED'"
     " WHEN user_id % 7 = 1 AND {k} % 4 = 2 THEN 'SOCKET_BYTES_SENT'"
     " WHEN user_id % 7 = 1 AND {k} % 4 = 3 THEN 'SSL_CONNECT'"
+    " WHEN user_id % 7 = 1 THEN 'SSL_CERTIFICATES_RECEIVED'"
     " WHEN user_id % 7 = 3 AND {k} % 4 = 1 THEN 'UDP_BYTES_RECEIVED'"
     " WHEN user_id % 7 = 3 AND {k} % 4 = 2 THEN 'UDP_BYTES_SENT' ELSE 'FAILED' END"
 )
@@ -136,7 +138,10 @@ SAMPLE_PARAM_COLUMNS: dict[str, str] = {
     "new_filename": _param("user_id % 7 = 5 AND event_type IN ('view', 'click')", "'final-' || {k}"),
     "load_flags": _param("user_id % 7 = 0 AND event_type = 'purchase'", "CAST({k} AS BIGINT)"),
     "load_state": _param("user_id % 7 = 0 AND event_type = 'view'", "CAST({k} % 6 AS BIGINT)"),
-    "cert_status": _param("user_id % 7 = 1 AND event_type = 'click'", "CAST({k} * 3 AS BIGINT)"),
+    "cert_status": _param("user_id % 7 = 1 AND event_type = 'error' AND {k} % 4 = 0", "CAST({k} * 3 AS BIGINT)"),
+    "ocsp_response": _param(
+        "user_id % 7 = 1 AND event_type = 'error' AND {k} % 8 = 0", "'ocsp ' || {k} || chr(10) || 'end'"
+    ),
     "quic_error": _param("user_id % 7 = 3 AND event_type = 'error'", "CAST({k} % 5 AS BIGINT)"),
 }
 # who a source depends on: sockets on resolver jobs or attempt managers, UDP sockets
@@ -172,6 +177,10 @@ def _params_json() -> F.Column:
         "CASE WHEN dep_id IS NOT NULL THEN named_struct('id', dep_id, 'type',"
         " CASE dep_id % 7 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 7 END) END AS source_dependency"
     )
+    fields.append(
+        "CASE WHEN user_id % 7 = 1 AND event_type = 'error' AND k % 4 = 0"
+        " THEN array('-BEGIN-' || chr(10) || 'c' || k, '-END-') END AS certificates"
+    )
     fields.append(
         "CASE WHEN user_id % 7 = 6 AND event_type = 'signup'"
         " THEN named_struct('destination', 'https://d' || k) END AS stream_key"
@@ -225,3 +234,12 @@ def enum_rows(events: DataFrame) -> DataFrame:
 def enum_values_sql() -> str:
     """The same enum entries as a VALUES list ``(enum, name, id)``."""
     return ", ".join(f"('{e}', '{n}', {i})" for e, names in ENUMS.items() for n, i in names.items())
+
+
+def capture_scalars(events: DataFrame) -> DataFrame:
+    """Scalars of the sample captures: no tick offset, exported at the last event."""
+    return events.groupBy("capture_id").agg(
+        F.min_by("time_ms", "event_index").alias("base_time_ms"),
+        F.lit(0.0).alias("time_tick_offset"),
+        F.max_by("time_ms", "event_index").alias("numeric_date_ms"),
+    )
