@@ -164,3 +164,12 @@ def shown(value: Column, key: str) -> Column:
 def joined(value: Column, key: str) -> Column:
     """Array member as ", "-joined text, "" when it is no array."""
     return F.coalesce(F.array_join(element_texts(field(value, key)), ", ", "undefined"), F.lit(""))
+
+
+def parsed(json_text: Column, name: str) -> Column:
+    """Generator column: ``json_text`` parsed as VARIANT ``name``, NULL if malformed.
+
+    A one-row generator, because the optimizer would copy a plain expression into
+    every filter on a member of the value.
+    """
+    return F.inline(F.array(F.struct(F.try_parse_json(json_text).alias(name))))

@@ -29,7 +29,8 @@ def _server_list(value: Column) -> Column:
 def _numbered(mode: Column, position: Column) -> Column:
     """A mode's lines under "(n) ", later lines indented to match."""
     start = F.concat(F.lit("("), (position + 1).cast("string"), F.lit(") "))
-    return F.concat(start, F.array_join(mode, F.concat(F.lit("\n"), F.repeat(F.lit(" "), F.length(start)))))
+    indent = F.concat(F.lit("\n"), F.repeat(F.lit(" "), F.length(start)))
+    return F.concat(start, F.call_function("array_join", mode, indent))
 
 
 def proxy_config_text(config: Column) -> Column:
@@ -67,10 +68,15 @@ def proxy_config_text(config: Column) -> Column:
     )
 
     modes = F.array_compact(F.array(override, detect, script, manual))
-    body = (
-        F.when(F.size(modes) == 0, F.lit("Use DIRECT connections."))
-        .when(F.size(modes) == 1, F.array_join(F.get(modes, F.lit(0)), "\n"))
-        .otherwise(F.array_join(F.transform(modes, _numbered), "\n"))
+    # bound as a lambda variable, so the long expression is evaluated once
+    body = F.get(
+        F.transform(
+            F.array(modes),
+            lambda m: F.when(F.size(m) == 0, F.lit("Use DIRECT connections."))
+            .when(F.size(m) == 1, F.array_join(F.get(m, F.lit(0)), "\n"))
+            .otherwise(F.array_join(F.transform(m, _numbered), "\n")),
+        ),
+        F.lit(0),
     )
     source = js.as_string(js.field(config, "source"))
     origin = F.when(source != "UNKNOWN", F.concat(F.lit("\nSource: "), source)).otherwise(F.lit(""))

@@ -196,7 +196,7 @@ def proxy_json():
 @query("proxy_config_text", f"WITH {PROXY_TEXT} SELECT c_custkey, text FROM proxy_text")
 def proxy_text(spark, sf_dir):
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    config = customers.select("c_custkey", F.try_parse_json(proxy_json()).alias("config"))
+    config = customers.select("c_custkey", js.parsed(proxy_json(), "config"))
     return config.select("c_custkey", proxy_config_text(F.col("config")).alias("text"))
 
 
@@ -213,7 +213,7 @@ def proxy_config_changes(spark, sf_dir):
         F.col("c_custkey").alias("source_id"),
         F.col("c_custkey").alias("event_index"),
         F.lit("PROXY_CONFIG_CHANGED").alias("type_name"),
-        F.try_parse_json(F.concat(F.lit("{"), old, F.lit('"new_config":'), proxy_json(), F.lit("}"))).alias("params"),
+        js.parsed(F.concat(F.lit("{"), old, F.lit('"new_config":'), proxy_json(), F.lit("}")), "params"),
     )
     return p.proxy_config_changes(ev)
 

@@ -22,15 +22,15 @@ steps AS (
   FROM firsts WHERE rn = 1
   UNION ALL
   SELECT capture_id, source_id, rn, event_index, rest[len(rest)].i AS parent_index, CAST(len(rest) AS INTEGER) AS depth,
-    CASE WHEN at > 0 THEN stack[at].i END AS begin_index,
-    CASE WHEN at > 0 THEN list_transform(stack[at:], lambda x: x.i) ELSE CAST([] AS BIGINT[]) END AS closed,
+    CASE WHEN spot > 0 THEN stack[spot].i END AS begin_index,
+    CASE WHEN spot > 0 THEN list_transform(stack[spot:], lambda x: x.i) ELSE CAST([] AS BIGINT[]) END AS closed,
     CASE WHEN phase_name = 'PHASE_BEGIN' THEN list_append(rest, {'t': type, 'i': event_index}) ELSE rest END AS stack
   FROM (
-    SELECT *, CASE WHEN at > 0 THEN stack[1:at - 1] ELSE stack END AS rest FROM (
+    SELECT *, CASE WHEN spot > 0 THEN stack[1:spot - 1] ELSE stack END AS rest FROM (
       SELECT e.capture_id, e.source_id, e.rn, e.event_index, e.type, e.phase_name, s.stack,
         CASE WHEN e.phase_name = 'PHASE_END' AND list_contains(list_transform(s.stack, lambda x: x.t), e.type)
           THEN len(s.stack) + 1 - list_position(list_reverse(list_transform(s.stack, lambda x: x.t)), e.type)
-          ELSE 0 END AS at
+          ELSE 0 END AS spot
       FROM steps s JOIN firsts e ON e.capture_id = s.capture_id AND e.source_id = s.source_id AND e.rn = s.rn + 1))),
 ends AS (SELECT capture_id, source_id, event_index AS end_index, rn AS end_rn, unnest(closed) AS begin_index FROM steps),
 paired AS (
@@ -46,8 +46,8 @@ matched AS (
 traced AS (
   SELECT m.capture_id, m.source_id, event_index, m.time_ticks - base_ms AS t, m.time_ticks - start_ticks AS st, depth,
     CASE WHEN phase_name = 'PHASE_BEGIN' AND NOT collapsible THEN '+' WHEN phase_name = 'PHASE_END' THEN '-' ELSE ' ' END AS marker,
-    CASE WHEN phase_name = 'PHASE_BEGIN' THEN coalesce(end_ticks - m.time_ticks, export_ms - m.time_ticks) END AS dt,
-    phase_name = 'PHASE_BEGIN' AND end_index IS NULL AS is_open, type_name
+    CASE WHEN phase_name = 'PHASE_BEGIN' THEN coalesce(m.end_ticks - m.time_ticks, export_ms - m.time_ticks) END AS dt,
+    phase_name = 'PHASE_BEGIN' AND m.end_index IS NULL AS is_open, type_name
   FROM matched m JOIN src ON src.capture_id = m.capture_id AND src.source_id = m.source_id
   JOIN caps ON caps.capture_id = m.capture_id WHERE NOT hidden)
 """

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.jsvalue import parsed
+
 SOURCE_TYPES = (
     "NONE",
     "URL_REQUEST",
@@ -209,12 +211,10 @@ def network_events(spark: SparkSession, sf_dir: str, with_params: bool = True) -
         "event_type",
     )
     events = events.withColumn("source_type", F.col("source_type").cast("int"))
-    if with_params:
-        events = events.withColumn("params_json", _params_json()).withColumn(
-            "params", F.try_parse_json("params_json")
-        )
     keep = list(SAMPLE_EVENT_COLUMNS) + ["net_error", "byte_count", "bytes_copied"]
-    return events.select(*keep, *(["params"] if with_params else []))
+    if not with_params:
+        return events.select(*keep)
+    return events.select(*keep, parsed(_params_json(), "params"))
 
 
 def enum_rows(events: DataFrame) -> DataFrame:
