@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import describe_queries, filter_queries, param_queries, source_queries, timeline_queries, trace_queries  # noqa: F401
+from . import describe_queries, filter_queries, param_queries, polled_queries, source_queries, timeline_queries, trace_queries  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
