@@ -191,14 +191,19 @@ def _params_json() -> F.Column:
 
 
 def network_events(spark: SparkSession, sf_dir: str, with_params: bool = True) -> DataFrame:
-    """The sample ``events`` table as network events.
+    """The sample ``events`` table as network events."""
+    return as_network_events(load(spark, sf_dir, "events"), with_params)
+
+
+def as_network_events(clicks: DataFrame, with_params: bool = True) -> DataFrame:
+    """Rows of the sample ``events`` table (batch or stream) as network events.
 
     ``net_error``, ``byte_count`` and ``bytes_copied`` are also there as plain
     columns, as a stored events table has them, so that aggregations which need
     only these never parse the params text.
     """
     # k, day and ticks are computed once below, so the CASE expressions stay cheap
-    raw = load(spark, sf_dir, "events").select(
+    raw = clicks.select(
         "event_id", "user_id", "event_type", "value", *[F.expr(e).alias(n) for n, e in _SPARK.items()]
     )
     names = {n: n for n in _SPARK}
