@@ -104,15 +104,19 @@ def number_text(number: Column) -> Column:
     )
 
 
+def _plain(value: Column) -> Column:
+    """Strings, booleans and exact numbers: their text is what the VARIANT casts to."""
+    return F.substring(_type_text(value), 1, 2).isin("ST", "BI", "BO", "DE")
+
+
 def _scalar_text(value: Column) -> Column:
-    kind = _type_text(value)
+    # the usual kinds come first, so that most values are looked up once
     return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(kind == "VOID", F.lit("null"))
-        .when(kind == "STRING", raw_string(value))
+        F.when(_plain(value), raw_string(value))
+        .when(value.isNull(), F.lit(None).cast("string"))
+        .when(_type_text(value) == "VOID", F.lit("null"))
         .when(is_number(value), number_text(raw_double(value)))
-        .when(kind == "BOOLEAN", raw_string(value))
-        .when(kind.startswith("OBJECT"), F.lit("[object Object]"))
+        .when(is_map(value), F.lit("[object Object]"))
     )
 
 
@@ -122,12 +126,10 @@ def _array_text(items: Column, inner) -> Column:
 
 
 def to_text(value: Column) -> Column:
-    """``String(value)``; NULL for undefined. Arrays nest two levels deep; deeper ones print as JSON."""
-    deepest = lambda item: F.coalesce(_scalar_text(item), F.to_json(item))
-    inner = lambda item: F.coalesce(
-        _scalar_text(item), _array_text(F.try_variant_get(item, "$", "array<variant>"), deepest)
-    )
-    return F.coalesce(_scalar_text(value), _array_text(F.try_variant_get(value, "$", "array<variant>"), inner))
+    """``String(value)``; NULL for undefined. An array inside an array prints as JSON."""
+    inner = lambda item: F.coalesce(_scalar_text(item), F.to_json(item))
+    listed = _array_text(F.try_variant_get(value, "$", "array<variant>"), inner)
+    return F.when(_plain(value), raw_string(value)).when(is_array(value), listed).otherwise(_scalar_text(value))
 
 
 def element_texts(value: Column) -> Column:
