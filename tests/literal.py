@@ -62,3 +62,72 @@ def literal_counts(events, wanted, ssl=False):
         if len(active) != before:
             points.append((e["event_index"], float(len(active))))
     return points
+
+
+SECOND = {"UDP_CONNECT", "IPV6_PROBE_RUNNING", "SOCKET_POOL_CONNECT_JOB_CREATED", "CERT_VERIFY_PROC"}
+
+
+def literal_descriptions(events):
+    """Descriptions by replaying one capture; events are dicts with ``params`` or None."""
+    own, text = {}, {}
+
+    def start_of(rows):
+        if not rows:
+            return None
+        kind = rows[0]["source_type_name"]
+        if kind == "FILESTREAM":
+            opened = [e for e in rows if e["type_name"] == "FILE_STREAM_OPEN"]
+            if opened:
+                return opened[0]
+        if kind == "DOWNLOAD":
+            renamed = [e for e in rows if e["type_name"] == "DOWNLOAD_FILE_RENAMED" and e["phase_name"] != "PHASE_END"]
+            if renamed:
+                return renamed[-1]
+            for name in ("DOWNLOAD_FILE_OPENED", "DOWNLOAD_ITEM_ACTIVE"):
+                found = [e for e in rows if e["type_name"] == name]
+                if found:
+                    return found[0]
+        return rows[1] if len(rows) > 1 and rows[1]["type_name"] in SECOND else rows[0]
+
+    def dependency(params):
+        return (params or {}).get("source_dependency", {}).get("id")
+
+    def describe(source):
+        e = start_of(own[source])
+        kind, p = e["source_type_name"], e["params"]
+        if kind == "NONE":
+            return e["type_name"]
+        if p is None:
+            return ""
+        if kind == "URL_REQUEST":
+            return p.get("url", "")
+        if kind == "HOST_RESOLVER_IMPL_JOB":
+            return p.get("host", "")
+        if kind == "SOCKET":
+            return text.get(dependency(p), "")
+        if kind == "HTTP_STREAM_POOL_ATTEMPT_MANAGER":
+            if dependency(p) is not None:
+                return text.get(dependency(p), "")
+            return p.get("stream_key", {}).get("destination", "")
+        if kind == "UDP_SOCKET":
+            if "address" not in p:
+                return ""
+            first = own[source][0]
+            up = dependency(first["params"]) if first["type_name"] == "SOCKET_ALIVE" else None
+            if up in text and own[up][0]["source_type_name"] == "HOST_RESOLVER_IMPL_JOB" and text[up]:
+                return f"{p['address']} [{text[up]}]"
+            return p["address"]
+        if kind == "DOWNLOAD":
+            field = {"DOWNLOAD_FILE_RENAMED": "new_filename"}.get(e["type_name"], "file_name")
+            return p.get(field, "") if e["type_name"].startswith("DOWNLOAD_") else ""
+        return ""
+
+    for e in events:
+        source = e["source_id"]
+        rows = own.setdefault(source, [])
+        before = start_of(rows)
+        rows.append(e)
+        if start_of(rows) is not before:
+            # a new source is not yet known to itself while it is described
+            text[source] = describe(source)
+    return text
