@@ -177,10 +177,12 @@ def discard_passive(checked: DataFrame) -> DataFrame:
     return checked.where("verdict = 'valid'").drop("verdict")
 
 
-def verdict_counts(checked: DataFrame) -> DataFrame:
-    """Events seen, valid, invalid, passive and malformed per capture."""
+def verdict_counts(checked: DataFrame, *also: Column) -> DataFrame:
+    """Events seen, valid, invalid, passive and malformed per capture, with further
+    aggregates in the same pass."""
     count = lambda v: F.count_if(F.col("verdict") == v)
     return checked.groupBy("capture_id").agg(
+        *also,
         F.count_if(F.col("verdict") != "malformed").alias("n_seen"),
         count("valid").alias("n_valid"),
         count("invalid").alias("n_invalid"),

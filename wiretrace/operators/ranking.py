@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 # first-match sort keys; anything else sorts by time
 _SORT_KEYS = {
     "time": ("start_ticks", "source_id"),
@@ -36,10 +38,32 @@ def sort_rows(df: DataFrame, column: str, desc: bool = False, tie: str | None =
 
 def top_sources(sources: DataFrame, n: int = 2000, by: str = "time", backwards: bool = False) -> DataFrame:
     """The first ``n`` sources of the sorted matches, each with the total match count."""
-    total = sources.agg(F.count("*").alias("total_matches"))
-    first = sort_sources(sources, by, backwards).limit(n)
-    # the total is a single row by construction
-    return first.join(F.broadcast(total))
+    total = sources.agg(F.count("*"))
+    return sort_sources(sources, by, backwards).limit(n).withColumn("total_matches", total.scalar())
+
+
+def with_position(ordered: DataFrame) -> DataFrame:
+    """Add the 1-based ``position`` of each row of a sorted table.
+
+    The sorted partitions are written once; a row's place is its place in its
+    partition plus the rows of the partitions before, of which there is one count
+    each.
+    """
+    placed = cut_lineage(ordered.withColumn("__id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__id", 33)).withColumn(
+        "__row", F.col("__id").bitwiseAND((1 << 33) - 1)
+    )
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy("__part")
+        .agg(F.count("*").alias("n"))
+        .select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    )
+    return (
+        placed.join(starts, "__part")
+        .withColumn("position", F.col("__start") + F.col("__row") + 1)
+        .drop("__id", "__part", "__row", "__start")
+    )
 
 
 def order_details(sources: DataFrame) -> DataFrame:

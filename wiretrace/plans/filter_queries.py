@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import filters as f
 from ..operators import grouping as g
 from ..operators import ranking as r
@@ -69,12 +67,6 @@ def filter_text(spark, sf_dir):
     return _keys(_described(spark, sf_dir).where(f.filter_text("7")))
 
 
-PARAM_HIT = (
-    "contains(coalesce(url, '') || '|' || coalesce(host, '') || '|' || coalesce(line, ''), '7')"
-    " AND user_id % 7 IN (0, 2)"
-)
-
-
 @query(
     "has_param_text",
     SRC
@@ -121,13 +113,11 @@ def _sorted_query(name, by, backwards, order):
     @query(
         f"sort_sources_{name}",
         f"""{SRC}, ranked AS (SELECT *, row_number() OVER (ORDER BY {order}) AS position FROM src)
-        SELECT capture_id, source_id, position FROM ranked WHERE position <= 500""",
+        SELECT capture_id, source_id, position FROM ranked""",
     )
     def run(spark, sf_dir):
-        # a sorted report: the first 500 with their place
-        top = r.sort_sources(_sources(spark, sf_dir), by, backwards).limit(500).select("capture_id", "source_id")
-        ids = F.monotonically_increasing_id() + 1
-        return top.coalesce(1).withColumn("position", ids)
+        ordered = r.sort_sources(_sources(spark, sf_dir), by, backwards).select("capture_id", "source_id")
+        return r.with_position(ordered)
 
     return run
 
@@ -144,32 +134,29 @@ _sorted_query("type", "type", False, "source_type_name, first_event_index, captu
     f"""{DESC}, ranked AS (SELECT src.capture_id, src.source_id,
       row_number() OVER (ORDER BY description, first_event_index, src.capture_id) AS position
       FROM src JOIN described USING (capture_id, source_id))
-    SELECT capture_id, source_id, position FROM ranked WHERE position <= 500""",
+    SELECT capture_id, source_id, position FROM ranked""",
 )
 def sort_sources_desc(spark, sf_dir):
-    top = r.sort_sources(_described(spark, sf_dir), "desc").limit(500).select("capture_id", "source_id")
-    return top.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+    return r.with_position(r.sort_sources(_described(spark, sf_dir), "desc").select("capture_id", "source_id"))
 
 
 @query(
     "sort_rows",
-    """SELECT page_id, url, row_number() OVER (ORDER BY lower(url) DESC, page_id DESC) AS position FROM pages
-    QUALIFY position <= 100""",
+    """SELECT page_id, url, row_number() OVER (ORDER BY lower(url) DESC, page_id DESC) AS position FROM pages""",
 )
 def sort_rows(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    top = r.sort_rows(pages, "url", desc=True, tie="page_id").limit(100)
-    return top.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+    return r.with_position(r.sort_rows(pages, "url", desc=True, tie="page_id"))
 
 
 @query(
     "top_sources",
     f"""{SRC} SELECT capture_id, source_id, (SELECT count(*) FROM src WHERE is_error) AS total_matches
-    FROM src WHERE is_error ORDER BY start_ticks, source_id, first_event_index LIMIT 200""",
+    FROM src WHERE is_error ORDER BY start_ticks, source_id, first_event_index, capture_id LIMIT 2000""",
 )
 def top_sources(spark, sf_dir):
     failed = _sources(spark, sf_dir).where(f.filter_error())
-    return r.top_sources(failed, 200).select("capture_id", "source_id", "total_matches")
+    return r.top_sources(failed, 2000).select("capture_id", "source_id", "total_matches")
 
 
 @query("order_details", f"{SRC} SELECT {SRC_COLUMNS} FROM src WHERE source_id IN (3, 1, 2)")

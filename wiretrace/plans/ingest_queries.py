@@ -142,8 +142,6 @@ def enum_names(spark, sf_dir):
     source_type_name, phase_name FROM ev""",
 )
 def resolve_names(spark, sf_dir):
-    raw = _elements(spark, sf_dir)
-    unknown = raw.select(F.col("event_index").alias("at"), F.col("text").contains('"type":999').alias("unknown"))
     k5 = st.load(spark, sf_dir, "events").select(F.col("event_id").alias("at"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     ids = events(spark, sf_dir).join(k5, F.col("at") == F.col("event_index")).select(
         "capture_id", "event_index", F.when(F.col("k") % 19 == 5, 999).otherwise(F.col("type")).alias("type"), "source_type", "phase"
@@ -228,10 +226,10 @@ def capture_metadata(spark, sf_dir):
 
 @query(
     "cap_events",
-    f"{EV} SELECT capture_id, event_index FROM ev QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY event_index) <= 1200",
+    f"{EV} SELECT capture_id, event_index FROM ev QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY event_index) <= 200",
 )
 def cap_events(spark, sf_dir):
-    return d.cap_events(events(spark, sf_dir).select("capture_id", "event_index"), 1200)
+    return d.cap_events(events(spark, sf_dir).select("capture_id", "event_index"), 200)
 
 
 @query(
