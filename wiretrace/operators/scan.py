@@ -10,97 +10,111 @@ from bucket to bucket. Only that carry table is windowed by the bare key; it has
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET_ROWS = 1 << 18
 _B = "__bucket"
-_CARRY = "__carry"
 
 
 def bucket_column(order: str, bucket_rows: int) -> Column:
     return F.floor(F.col(order) / F.lit(bucket_rows)).cast("bigint")
 
 
-def _scan(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    out: str,
-    bucket_rows: int,
-    *,
-    total: Column,
-    carry,
-    local,
-    combine,
-) -> DataFrame:
-    """Bucket scan: ``total`` aggregates a bucket, ``carry(window)`` folds earlier
+class _Step(NamedTuple):
+    """One running value: ``total`` aggregates a bucket, ``carry(window)`` folds earlier
     buckets, ``local(window)`` scans inside one, ``combine(carry, local)`` joins both."""
+
+    out: str
+    value: Column
+    total: Callable[[str], Column]
+    carry: Callable
+    local: Callable
+    combine: Callable
+
+
+def _upto(window, column: str, fold) -> Column:
+    return fold(column).over(window.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def sum_step(out: str, value: Column) -> _Step:
+    """Sum of ``value`` up to and including this row."""
+    return _Step(
+        out,
+        value,
+        total=F.sum,
+        carry=lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)),
+        local=lambda c, w: _upto(w, c, F.sum),
+        combine=lambda c, x: c + x,
+    )
+
+
+def max_step(out: str, value: Column) -> _Step:
+    """Greatest ``value`` up to and including this row."""
+    return _Step(
+        out,
+        value,
+        total=F.max,
+        carry=lambda c, w: F.max(c).over(w),
+        local=lambda c, w: _upto(w, c, F.max),
+        combine=F.greatest,
+    )
+
+
+def running(
+    df: DataFrame, keys: Sequence[str], order: str, steps: Sequence[_Step], bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """All running values of one key and order in a single bucket scan."""
     keys = list(keys)
     cut = df.withColumn(_B, bucket_column(order, bucket_rows))
+    for i, step in enumerate(steps):
+        cut = cut.withColumn(f"__v{i}", step.value)
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        cut.groupBy(*keys, _B)
-        .agg(total.alias("__total"))
-        .select(*keys, _B, carry(before).alias(_CARRY))
-    )
     inside = Window.partitionBy(*keys, _B).orderBy(order)
-    return (
-        cut.withColumn(out, local(inside))
-        .join(carried, [*keys, _B])
-        .withColumn(out, combine(F.col(_CARRY), F.col(out)))
-        .drop(_B, _CARRY)
+    numbered = list(enumerate(steps))
+    totals = cut.groupBy(*keys, _B).agg(*[s.total(f"__v{i}").alias(f"__t{i}") for i, s in numbered])
+    carried = totals.select(*keys, _B, *[s.carry(f"__t{i}", before).alias(f"__c{i}") for i, s in numbered])
+    scanned = cut.select("*", *[s.local(f"__v{i}", inside).alias(f"__l{i}") for i, s in numbered])
+    joined = scanned.join(carried, [*keys, _B])
+    return joined.select(
+        *df.columns, *[s.combine(F.col(f"__c{i}"), F.col(f"__l{i}")).alias(s.out) for i, s in numbered]
     )
 
 
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Sum of ``value`` from the key's first row up to and including this one."""
-    df = df.withColumn("__v", value)
-    return _scan(
-        df, keys, order, out, bucket_rows,
-        total=F.sum("__v"),
-        carry=lambda w: F.coalesce(F.sum("__total").over(w), F.lit(0)),
-        local=lambda w: F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        combine=lambda c, x: c + x,
-    ).drop("__v")
+    return running(df, keys, order, [sum_step(out, value)], bucket_rows)
 
 
 def running_max(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Greatest ``value`` from the key's first row up to and including this one."""
-    df = df.withColumn("__v", value)
-    return _scan(
-        df, keys, order, out, bucket_rows,
-        total=F.max("__v"),
-        carry=lambda w: F.max("__total").over(w),
-        local=lambda w: F.max("__v").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        combine=lambda c, x: F.greatest(c, x),
-    ).drop("__v")
-
-
-def row_rank(
-    df: DataFrame, keys: Sequence[str], order: str, out: str, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """1-based position of each row within its key, in ``order``."""
-    return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, bucket_rows)
+    return running(df, keys, order, [max_step(out, value)], bucket_rows)
 
 
 def previous_value(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Latest non-null ``value`` strictly before this row, NULL if there is none."""
-    df = df.withColumn("__v", value)
-    return _scan(
-        df, keys, order, out, bucket_rows,
-        total=F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(order))),
-        carry=lambda w: F.last("__total", ignorenulls=True).over(w),
-        local=lambda w: F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+    step = _Step(
+        out,
+        value,
+        total=lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))),
+        carry=lambda c, w: F.last(c, ignorenulls=True).over(w),
+        local=lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
         combine=lambda c, x: F.coalesce(x, c),
-    ).drop("__v")
+    )
+    return running(df, keys, order, [step], bucket_rows)
+
+
+def row_rank(
+    df: DataFrame, keys: Sequence[str], order: str, out: str, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """1-based position of each row within its key, in ``order``."""
+    return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, bucket_rows)
 
 
 def first_rows(

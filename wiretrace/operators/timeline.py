@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import format_rate
+from ..session import cut_lineage
 from .grouping import param_number
-from .scan import BUCKET_ROWS, previous_value, running_max, running_sum
+from .scan import BUCKET_ROWS, max_step, previous_value, running, running_max, sum_step
 
 # fixed values: series name -> (source type, event type)
 COUNT_SERIES = {
@@ -49,9 +50,11 @@ def _count_points(tagged: DataFrame, bucket_rows: int) -> DataFrame:
     known = previous_value(relevant, [*SERIES_KEY, "source_id"], "event_index", F.col("opens"), "was_open", bucket_rows)
     was = F.coalesce("was_open", F.lit(False))
     change = F.when(F.col("opens") & ~was, 1).when(~F.col("opens") & was, -1).otherwise(0).cast("bigint")
-    changes = known.withColumn("change", change).where("change <> 0")
-    counted = running_sum(changes, SERIES_KEY, "event_index", F.col("change"), "n", bucket_rows)
-    return counted.select(*SERIES_KEY, "event_index", "time_ms", F.col("n").cast("double").alias("value"))
+    # written once: far fewer rows than events, and the next scan reads them twice
+    changes = cut_lineage(known.select(*SERIES_KEY, "event_index", "time_ms", change.alias("change")).where("change <> 0"))
+    steps = [sum_step("n", F.col("change")), max_step("arrival_ms", F.col("time_ms"))]
+    counted = running(changes, SERIES_KEY, "event_index", steps, bucket_rows)
+    return counted.select(*SERIES_KEY, "event_index", "time_ms", F.col("n").cast("double").alias("value"), "arrival_ms")
 
 
 def _count_tag() -> Column:
@@ -64,7 +67,7 @@ def _count_tag() -> Column:
 
 
 def count_points(events: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Points of all four count series."""
+    """Points of all four count series, with their ``arrival_ms``."""
     tagged = events.withColumn("series", _count_tag()).where(F.col("series").isNotNull())
     return _count_points(tagged, bucket_rows)
 
@@ -137,7 +140,9 @@ def _grid(windows: DataFrame, series: list[str], step: float, n: int) -> DataFra
 
 def _slotted(points: DataFrame, windows: DataFrame, step: float, n: int, bucket_rows: int) -> DataFrame:
     """Points with the number of the first sample instant after their arrival."""
-    arrived = running_max(points, SERIES_KEY, "event_index", F.col("time_ms"), "arrival_ms", bucket_rows)
+    arrived = points
+    if "arrival_ms" not in points.columns:
+        arrived = running_max(cut_lineage(points), SERIES_KEY, "event_index", F.col("time_ms"), "arrival_ms", bucket_rows)
     slot = F.floor((F.col("arrival_ms") - F.col("start_ms")) / F.lit(step)) + 1
     return (
         arrived.join(windows.select("capture_id", "start_ms"), "capture_id")

@@ -79,7 +79,7 @@ def _count_query(name, series):
         f"{EV}, {_count_cte('c', _SERIES_WHERE[series])} SELECT capture_id, event_index, time_ms, value FROM c",
     )
     def run(spark, sf_dir):
-        return t.active_count(events(spark, sf_dir), source_type, event_type).drop("series")
+        return t.active_count(events(spark, sf_dir), source_type, event_type).drop("series", "arrival_ms")
 
 
 _count_query("active_count_open_sockets", "Open sockets")
@@ -92,7 +92,7 @@ _count_query("active_count_dns_jobs", "DNS jobs")
     f"{EV}, {_count_cte('c', _SERIES_WHERE['In-use sockets'])} SELECT capture_id, event_index, time_ms, value FROM c",
 )
 def sockets_in_use(spark, sf_dir):
-    return t.sockets_in_use(events(spark, sf_dir)).drop("series")
+    return t.sockets_in_use(events(spark, sf_dir)).drop("series", "arrival_ms")
 
 
 @query(
