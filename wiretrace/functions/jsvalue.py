@@ -37,8 +37,7 @@ def is_array(value: Column) -> Column:
 
 def is_object(value: Column) -> Column:
     """``typeof value === 'object'`` and not null: objects and arrays alike."""
-    kind = _type_text(value)
-    return F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
+    return F.coalesce(F.substring(_type_text(value), 1, 5).isin("OBJEC", "ARRAY"), F.lit(False))
 
 
 def is_map(value: Column) -> Column:
@@ -84,7 +83,8 @@ def to_number(value: Column) -> Column:
     """``value - 0`` for a VARIANT; NULL where JavaScript gives NaN."""
     kind = _type_text(value)
     return (
-        F.when(is_number(value), raw_double(value))
+        F.when(value.isNull(), F.lit(None).cast("double"))
+        .when(is_number(value), raw_double(value))
         .when(kind == "STRING", text_to_number(raw_string(value)))
         .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
         .when(kind == "VOID", F.lit(0.0))
@@ -141,7 +141,8 @@ def truthy(value: Column) -> Column:
     """``!!value``: false for undefined, null, false, 0 and the empty string."""
     kind = _type_text(value)
     return F.coalesce(
-        F.when(kind == "VOID", F.lit(False))
+        F.when(value.isNull(), F.lit(False))
+        .when(kind == "VOID", F.lit(False))
         .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
         .when(kind == "STRING", raw_string(value) != "")
         .when(is_number(value), raw_double(value) != 0.0)

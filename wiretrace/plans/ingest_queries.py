@@ -14,7 +14,7 @@ from ..operators import grouping as g
 from ..sources import captures as cap
 from ..sources import sample_tables as st
 from ..session import checkpoint_dir
-from .base import EV, SRC, _DUCK, events, query
+from .base import EV, events, query
 from .polled_queries import _WHEN
 
 _CONSTANTS = {
