@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import jsvalue as js
+from ..session import cut_lineage
 from .scan import BUCKET_ROWS, row_rank
 
 SOURCE_KEY = ("capture_id", "source_id")
@@ -130,7 +131,9 @@ def source_events(
     ``selected`` has ``capture_id`` and ``source_id``; NULL selects every source.
     """
     if selected is not None:
-        events = events.join(selected.select(*SOURCE_KEY).distinct(), list(SOURCE_KEY), "left_semi")
+        # keys only; written once because the events are passed over three times
+        keys = cut_lineage(selected.select(*SOURCE_KEY).distinct())
+        events = events.join(keys, list(SOURCE_KEY), "left_semi")
     totals = source_event_count(events).withColumnRenamed("event_count", "total")
     if cap > 0:
         totals = totals.withColumn("truncated", F.col("total") > cap)
