@@ -63,7 +63,7 @@ class TwoGenerations:
         """Those of ``keys`` not kept; the others are in ``young`` afterwards."""
         out = []
         young, old = self.young, self.old
-        if len(young) + len(keys) > self.most and young:
+        if len(young) > self.most:
             self.old = old = young
             self.young = young = {}
         for k in keys:

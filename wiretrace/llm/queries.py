@@ -28,3 +28,14 @@ def op8_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json")) as f:
         write_packed_ids(table(spark, sf_dir, "documents"), path, f.read(), end_id=1)
     return digest_packed_ids(spark.read.schema("place int, segment int, n_docs long, n_ids long, blob binary").parquet(path))
+
+
+@query
+def op6_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every text and their decoding, as digests."""
+    import public_tokenizers
+
+    from .merge_pieces import digest_pieces
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return digest_pieces(table(spark, sf_dir, "documents"), f.read())
