@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import scratch_path, table
 
@@ -39,3 +40,12 @@ def op6_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         return digest_pieces(table(spark, sf_dir, "documents"), f.read())
+
+
+@query
+def op3_passage_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that remain of every document when passages that start earlier are removed."""
+    from .factors import remove_repeated
+
+    out = remove_repeated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
