@@ -49,3 +49,15 @@ def op3_passage_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+
+
+@query
+def op1_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lie in 32 shards by source, moved to 40 shards of equal bytes."""
+    from .reshard import reshard, row_size
+
+    by_source = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(32))
+    rows, _ = reshard(table(spark, sf_dir, "documents"), by_source, 32, 40)
+    return rows.select(
+        "doc_id", row_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+    )
