@@ -70,3 +70,12 @@ def op4_segment_count_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
+
+
+@query
+def op9_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected toxicity grade of every document; rows held out by id teach nothing."""
+    from .ordinal import severity, train
+
+    docs = table(spark, sf_dir, "documents")
+    return severity(docs, train(docs, table(spark, sf_dir, "labels")))

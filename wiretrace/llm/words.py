@@ -21,6 +21,8 @@ LONG = 256
 PIECE = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: separators where only letters and digits count: every ASCII byte that is neither
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE, _STEP = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93 | 1)
@@ -69,7 +71,7 @@ class Words:
     (within a row), and a run of words is one slice of ``data``.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False, joined: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, joined: bool = False, breaks: np.ndarray = _SPACE):
         column = column.fill_null("").cast(pa.large_binary())
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
@@ -78,7 +80,7 @@ class Words:
             data = _LOWER[data]
         n = len(data)
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = ~_SPACE[data]
+        inside[1:-1] = ~breaks[data]
         edge = np.zeros(n + 2, bool)
         edge[offsets + 1] = True
         starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[1:-1]))
