@@ -79,3 +79,11 @@ def op9_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return severity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op10_window_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the place."""
+    from .window_simhash import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
