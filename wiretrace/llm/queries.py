@@ -87,3 +87,13 @@ def op10_window_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .window_simhash import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; rows held out by id teach nothing."""
+    from .rules import quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = quality(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
