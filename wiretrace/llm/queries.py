@@ -97,3 +97,18 @@ def op7_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: fixed patterns, and strings that pass for random."""
+    from .secrets import find_secrets, span_text
+
+    found = find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    of = lambda k: F.filter("secrets", lambda s: s["kind"] == k)
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(("assign", "access", "hex"))],
+        F.sha2(span_text(F.filter("secrets", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        span_text(F.col("secrets")).alias("spans"),
+    )

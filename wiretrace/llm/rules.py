@@ -140,16 +140,17 @@ def _lasso(r: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     for _ in range(20):
         v = centred.T @ (centred @ v)
         v /= np.linalg.norm(v) + 1e-12
-    step = 4 * n / (np.linalg.norm(centred @ v) ** 2 + n * 1e-6)
+    # half of what either block of variables bears alone
+    step = 2 * n / (np.linalg.norm(centred @ v) ** 2 + n * 1e-6)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     w = w0 = np.zeros(k)
     b, t = float(np.log(share / (1 - share))), 1.0
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-(centred @ w.astype(np.float32) + b)))
+        p = 1 / (1 + np.exp(-np.clip(centred @ w.astype(np.float32) + b, -40, 40)))
         g = centred.T @ (p - y).astype(np.float32) / n
         w1 = w - step * g
         w1 = np.sign(w1) * np.maximum(np.abs(w1) - step * PENALTY, 0)
-        b -= 4 * float((p - y).mean())
+        b -= 2 * float((p - y).mean())
         ahead = (1 + (1 + 4 * t * t) ** 0.5) / 2
         w, w0, t = w1 + (t - 1) / ahead * (w1 - w0), w1, ahead
     return w0, b - float(mean @ w0)
