@@ -112,3 +112,28 @@ def op5_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_text(F.filter("secrets", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
         span_text(F.col("secrets")).alias("spans"),
     )
+
+
+@query
+def op2_mtree_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every 20th vector with all others."""
+    from .mtree import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_mtree_products"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), x -> CAST(floor(64 * x) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
