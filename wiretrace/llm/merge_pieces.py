@@ -117,10 +117,11 @@ class MergeCoder:
         for c in new:
             young[c] = merge(c if c[0] == MARK else MARK + c)
         if self.check and new:
-            # the library puts a mark before each text itself; a mark alone would be no text to it
-            some = [c for c in new if c != MARK]
-            for c, ids in zip(some, self.lib.encode([c[1:] if c[0] == MARK else c for c in some], num_threads=1)):
-                if tuple(ids) != young[c]:
+            # One text a call: calls with a list start threads of the library's own. The library puts
+            # a mark before each text itself; a mark alone would be no text to it.
+            encode = self.lib.encode
+            for c in new:
+                if c != MARK and tuple(encode(c[1:] if c[0] == MARK else c)) != young[c]:
                     raise ValueError(f"the library encodes {c[:80]!r} in another way")
         out = [list(chain.from_iterable(map(young.__getitem__, chunks))) for chunks in split]
         for c in new:
@@ -163,7 +164,7 @@ def round_trip_pieces(docs: DataFrame, model: bytes, check: bool = True) -> Data
 
     def rows(coder: MergeCoder, texts: list) -> list[list]:
         ids = coder.encode(texts)
-        return [[len(x) for x in ids], [",".join(map(str, x)) for x in ids], coder.lib.decode(ids, num_threads=1)]
+        return [[len(x) for x in ids], [",".join(map(str, x)) for x in ids], [coder.lib.decode(x) for x in ids]]
 
     return _coded(docs, model, check, "n_tokens long, ids string, decoded string", rows)
 
@@ -174,6 +175,6 @@ def digest_pieces(docs: DataFrame, model: bytes, check: bool = True) -> DataFram
     def rows(coder: MergeCoder, texts: list) -> list[list]:
         ids = coder.encode(texts)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        return [[len(x) for x in ids], [sha(",".join(map(str, x))) for x in ids], [sha(t) for t in coder.lib.decode(ids, num_threads=1)]]
+        return [[len(x) for x in ids], [sha(",".join(map(str, x))) for x in ids], [sha(coder.lib.decode(x)) for x in ids]]
 
     return _coded(docs, model, check, "n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
