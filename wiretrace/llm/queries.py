@@ -124,10 +124,10 @@ def op2_mtree_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op2_mtree_products"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), x -> CAST(floor(64 * x) AS BIGINT)) AS v
+  SELECT vec_id, [CAST(floor(64 * x) AS BIGINT) FOR x IN CAST(embedding AS DOUBLE[])] AS v
   FROM embeddings
   WHERE embedding IS NOT NULL
-    AND len(list_filter(CAST(embedding AS DOUBLE[]), x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len([x FOR x IN CAST(embedding AS DOUBLE[]) IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id
