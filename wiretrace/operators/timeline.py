@@ -226,7 +226,8 @@ def values_at(events: DataFrame, instants: DataFrame, step: float = DEFAULT_STEP
 
 # --- which sources were alive at an instant ---------------------------------------
 
-_LEVELS = 44
+# a double holds whole cells up to 2^53; sizes beyond are met by a block of 2^62 cells
+_LEVELS = 63
 
 
 def sources_active_at(sources: DataFrame, instants: DataFrame, cell_ms: float = 1.0) -> DataFrame:

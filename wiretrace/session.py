@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -39,19 +40,29 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared scratch folder: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where the session has none (local tests) is a temporary one set.
+    Only a local session without one gets a temporary folder; on a cluster that is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if not current:
         if not named:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="wiretrace-checkpoint-")
         context.setCheckpointDir(named)
         current = context.getCheckpointDir()
     return named or current
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the scratch folder as Parquet and read it again: what is made while
+    reading, such as positions, then holds in every later pass."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there."""
     checkpoint_dir(df.sparkSession)
