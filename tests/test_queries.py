@@ -16,6 +16,7 @@ NAMES = [
     "describe_sources",
     "series_all",
     "sources_active_at",
+    "sources_active_at_fine",
     "match_begin_end_chunked",
     "event_trace",
     "trace_search",

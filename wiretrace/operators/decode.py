@@ -42,7 +42,6 @@ BYTE_EVENT_TYPES = (
     "ENTRY_READ_DATA",
     "ENTRY_WRITE_DATA",
 )
-DEFAULT_MAX_EVENTS = 2_000_000
 
 # fixed values: message texts
 BAD_CONSTANTS = "Load failed:\n\nInvalid constants object.\n"
@@ -215,7 +214,7 @@ def load_report(captures: DataFrame, max_events: int = 0) -> DataFrame:
     return captures.withColumn("load_log", F.when(F.col("status") == "ok", text))
 
 
-def cap_events(events: DataFrame, max_events: int = DEFAULT_MAX_EVENTS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def cap_events(events: DataFrame, max_events: int = 0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The first ``max_events`` events of each capture in file order; 0 or less keeps all."""
     return first_rows(events, ["capture_id"], "event_index", max_events, bucket_rows)
 

@@ -123,7 +123,7 @@ def source_event_count(events: DataFrame) -> DataFrame:
 
 
 def source_events(
-    events: DataFrame, selected: DataFrame | None = None, cap: int = 50_000, bucket_rows: int = BUCKET_ROWS
+    events: DataFrame, selected: DataFrame | None = None, cap: int = 0, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Events of the selected sources, the first ``cap`` of each in file order, with
     the source's total and a truncation flag. ``cap <= 0`` keeps all.

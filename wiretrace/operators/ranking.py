@@ -36,10 +36,13 @@ def sort_rows(df: DataFrame, column: str, desc: bool = False, tie: str | None =
     return df.orderBy(*[k.desc() if desc else k.asc() for k in keys])
 
 
-def top_sources(sources: DataFrame, n: int = 2000, by: str = "time", backwards: bool = False) -> DataFrame:
-    """The first ``n`` sources of the sorted matches, each with the total match count."""
+def top_sources(sources: DataFrame, n: int = 0, by: str = "time", backwards: bool = False) -> DataFrame:
+    """The first ``n`` sources of the sorted matches (0 or less: all), each with the total match
+    count. The sources are written once for both."""
+    sources = cut_lineage(sources)
+    ordered = sort_sources(sources, by, backwards)
     total = sources.agg(F.count("*"))
-    return sort_sources(sources, by, backwards).limit(n).withColumn("total_matches", total.scalar())
+    return (ordered.limit(n) if n > 0 else ordered).withColumn("total_matches", total.scalar())
 
 
 def with_position(ordered: DataFrame) -> DataFrame:
@@ -87,6 +90,7 @@ def capture_stats(events: DataFrame) -> DataFrame:
 
 def busiest_sources(sources: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` sources with most events per capture, with the capture's totals."""
+    sources = cut_lineage(sources)
     w = Window.partitionBy("capture_id").orderBy(F.desc("event_count"), "first_event_index")
     totals = sources.groupBy("capture_id").agg(
         F.sum("event_count").alias("events"),

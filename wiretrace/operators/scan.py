@@ -122,13 +122,9 @@ def first_rows(
 ) -> DataFrame:
     """The first ``limit`` rows of every key in ``order``; ``limit <= 0`` keeps all.
 
-    Small limits are cut on the map side by Spark's window group limit. Larger ones
-    use the bucket scan's ranks.
+    The ranks are those of the bucket scan, so a hot key is ranked in many tasks.
     """
     if limit <= 0:
         return df
-    if limit <= 1000:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-        return df.withColumn("__rank", rank).where(F.col("__rank") <= limit).drop("__rank")
     ranked = row_rank(df, keys, order, "__rank", bucket_rows)
     return ranked.where(F.col("__rank") <= limit).drop("__rank")

@@ -226,7 +226,7 @@ def values_at(events: DataFrame, instants: DataFrame, step: float = DEFAULT_STEP
 
 # --- which sources were alive at an instant ---------------------------------------
 
-# a double holds whole cells up to 2^53; sizes beyond are met by a block of 2^62 cells
+# blocks of 2^0 to 2^62 cells: no lifetime in a BIGINT of cells is longer
 _LEVELS = 63
 
 
@@ -241,8 +241,8 @@ def sources_active_at(sources: DataFrame, instants: DataFrame, cell_ms: float =
     """
     level = F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1)))
     first, past = F.floor(F.col("start_ms") / cell_ms), F.floor(F.col("end_ms") / cell_ms) + 1
-    lo = F.ceil(F.col("first") / F.pow(F.lit(2.0), "level")).cast("bigint")
-    hi = F.floor(F.col("past") / F.pow(F.lit(2.0), "level")).cast("bigint")
+    # whole-number shifts: a double would round long counts of cells
+    lo, hi = F.expr("-shiftright(-first, level)"), F.expr("shiftright(past, level)")
     open_ = F.col("lo") < F.col("hi")
     odd_lo = F.when(open_ & (F.pmod("lo", F.lit(2)) == 1), F.col("lo"))
     odd_hi = F.when(open_ & (F.pmod("hi", F.lit(2)) == 1), F.col("hi") - 1)
@@ -259,7 +259,8 @@ def sources_active_at(sources: DataFrame, instants: DataFrame, cell_ms: float =
     points = (
         instants.select("capture_id", "at_ms")
         .withColumn("level", level)
-        .withColumn("block", F.floor(F.floor(F.col("at_ms") / cell_ms) / F.pow(F.lit(2.0), "level")).cast("bigint"))
+        .withColumn("cell", F.floor(F.col("at_ms") / cell_ms))
+        .withColumn("block", F.expr("shiftright(cell, level)"))
     )
     return (
         blocks.join(points, ["capture_id", "level", "block"])

@@ -15,7 +15,6 @@ from . import pairing
 from .grouping import SOURCE_KEY
 from .scan import BUCKET_ROWS, bucket_column, running_sum
 
-DEFAULT_MAX_MATCHES = 5000
 _BROADCAST_KEYS = 100_000
 _CHUNK = [*SOURCE_KEY, "chunk"]
 
@@ -248,13 +247,19 @@ def trace_search(
     query: str,
     use_regex: bool = False,
     case_sensitive: bool = False,
-    max_matches: int = DEFAULT_MAX_MATCHES,
+    max_matches: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Matches in the trace text of each source: the first ``max_matches`` in trace
-    order, and whether there were more (``truncated``)."""
+    order (all by default), and whether there were more (``truncated``).
+
+    The matches are written once; what is ranked and counted starts from them.
+    """
     text = trace.select(*SOURCE_KEY, "event_index", "text")
     found = find_matches(text, "text", query, case_sensitive, use_regex)
+    if max_matches is None:
+        return found.withColumn("truncated", F.lit(False))
+    found = cut_lineage(found)
     totals = found.groupBy(*SOURCE_KEY).agg((F.count("*") > max_matches).alias("truncated"))
     if max_matches <= 0:
         return found.where(F.lit(False)).withColumn("truncated", F.lit(True))

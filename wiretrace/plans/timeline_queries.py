@@ -184,14 +184,14 @@ def values_at(spark, sf_dir):
     return _rounded(t.values_at(ev, noon, 3600000.0))
 
 
-@query(
-    "sources_active_at",
-    f"""{SRC}, instants AS (SELECT capture_id, arg_min(time_ms, event_index) + h * 3600000.0 AS at_ms
+_ACTIVE_AT = f"""{SRC}, instants AS (SELECT capture_id, arg_min(time_ms, event_index) + h * 3600000.0 AS at_ms
       FROM ev, range(24) r(h) GROUP BY capture_id, h)
     SELECT i.capture_id, at_ms, source_id FROM instants i JOIN src ON src.capture_id = i.capture_id
-      AND start_ticks <= at_ms AND at_ms <= end_ticks""",
-)
-def sources_active_at(spark, sf_dir):
+      AND start_ticks <= at_ms AND at_ms <= end_ticks"""
+
+
+@query("sources_active_at", _ACTIVE_AT)
+def sources_active_at(spark, sf_dir, cell_ms=1.0):
     ev = events(spark, sf_dir)
     sources = g.group_sources(ev).select(
         "capture_id", "source_id", F.col("start_ticks").alias("start_ms"), F.col("end_ticks").alias("end_ms")
@@ -200,7 +200,13 @@ def sources_active_at(spark, sf_dir):
     instants = (
         _windows(ev).withColumn("h", hours).select("capture_id", (F.col("start_ms") + F.col("h") * 3600000.0).alias("at_ms"))
     )
-    return t.sources_active_at(sources, instants)
+    return t.sources_active_at(sources, instants, cell_ms)
+
+
+@query("sources_active_at_fine", _ACTIVE_AT)
+def sources_active_at_fine(spark, sf_dir):
+    """Lifetimes of days in cells of a millionth of a millisecond."""
+    return sources_active_at(spark, sf_dir, 1e-6)
 
 
 @query(
