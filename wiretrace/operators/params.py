@@ -92,6 +92,15 @@ def _flag_lists(enums: DataFrame) -> DataFrame:
     )
 
 
+def _flag_text(enum: Column, bits: Column) -> Column:
+    """The names of the bits set, from the array ``flags`` of the row."""
+    name = lambda flag: flag["name"]
+    set_bits = F.transform(F.filter("flags", lambda flag: bits.bitwiseAND(flag["id"]) != 0), name)
+    same = F.transform(F.filter("flags", lambda flag: flag["id"] == bits), name)
+    whole = F.when(enum == "loadFlag", F.coalesce(F.get(same, F.lit(0)), F.lit("?"))).otherwise(F.lit(""))
+    return F.when(F.size(set_bits) > 0, F.array_join(set_bits, " | ")).otherwise(whole)
+
+
 def decode_flags(long: DataFrame, enums: DataFrame) -> DataFrame:
     """Names of the set bits, " | " between; without any, the value's own name or "?"
     for load flags and "" for the others."""
@@ -103,12 +112,7 @@ def decode_flags(long: DataFrame, enums: DataFrame) -> DataFrame:
         .select(*EVENT_KEY, "key", "enum", "bits")
     )
     joined = coded.join(_flag_lists(enums), ["capture_id", "enum"], "left")
-    name = lambda flag: flag["name"]
-    set_bits = F.transform(F.filter("flags", lambda flag: F.col("bits").bitwiseAND(flag["id"]) != 0), name)
-    same = F.transform(F.filter("flags", lambda flag: flag["id"] == F.col("bits")), name)
-    whole = F.when(F.col("enum") == "loadFlag", F.coalesce(F.get(same, F.lit(0)), F.lit("?"))).otherwise(F.lit(""))
-    text = F.when(F.size(set_bits) > 0, F.array_join(set_bits, " | ")).otherwise(whole)
-    return joined.select(*EVENT_KEY, "key", "bits", text.alias("names"))
+    return joined.select(*EVENT_KEY, "key", "bits", _flag_text(F.col("enum"), F.col("bits")).alias("names"))
 
 
 # --- text lines -------------------------------------------------------------------
@@ -195,9 +199,9 @@ def param_lines(events: DataFrame, enums: DataFrame) -> DataFrame:
     """
     long = params_long(events)
     key, value = F.col("key"), F.col("value")
-    named = decode_params(long, enums).select(*EVENT_KEY, "key", "code", "name")
-    flags = decode_flags(long, enums).select(*EVENT_KEY, "key", F.col("bits").alias("code"), F.col("names").alias("name"))
-    coded = named.unionByName(flags)
+    # the enums are joined to the params themselves, not to a second copy of them
+    names = first_names(enums).select("capture_id", "enum", F.col("id").cast("bigint").alias("code"), F.col("name").alias("value_name"))
+    flags = _flag_lists(enums).withColumnRenamed("enum", "flag_enum")
     kinds = (
         enums.where(F.col("enum") == "logSourceType")
         .groupBy("capture_id", F.col("id").cast("bigint").alias("dep_type"))
@@ -206,11 +210,16 @@ def param_lines(events: DataFrame, enums: DataFrame) -> DataFrame:
     depends = (key == "source_dependency") & js.is_object(value)
     number = lambda name: F.coalesce(js.as_int(js.field(value, name)), F.lit(0))
     rows = (
-        long.withColumn("dep_id", F.when(depends, number("id")))
+        long.withColumn("enum", F.when(_applies(), _lookup("key", NAMED_PARAMS)))
+        .withColumn("flag_enum", F.when(_applies(), _lookup("key", FLAG_PARAMS)))
+        .withColumn("code", F.when(F.coalesce("enum", "flag_enum").isNotNull(), js.as_int(value)))
+        .withColumn("dep_id", F.when(depends, number("id")))
         .withColumn("dep_type", F.when(depends, number("type")))
         .join(kinds, ["capture_id", "dep_type"], "left")
-        .join(coded, [*EVENT_KEY, "key"], "left")
+        .join(names, ["capture_id", "enum", "code"], "left")
+        .join(flags, ["capture_id", "flag_enum"], "left")
     )
+    label = F.when(F.col("enum").isNotNull(), F.coalesce("value_name", F.lit("?"))).otherwise(_flag_text(F.col("flag_enum"), F.col("code")))
     text = js.as_string(value)
     name = F.col("type_name")
     on_certs = name.isin(*CERTIFICATE_EVENTS)
@@ -218,7 +227,7 @@ def param_lines(events: DataFrame, enums: DataFrame) -> DataFrame:
     bracket = lambda code, label: equals(F.concat(code.cast("string"), F.lit(" ("), label, F.lit(")")))
     split_text = (on_certs & key.isin("ocsp_response", "sct_list")) | ((name == PATH_BUILT_EVENT) & (key == "errors"))
     lines = (
-        F.when(F.col("code").isNotNull(), bracket(F.col("code"), F.col("name")))
+        F.when(F.col("code").isNotNull(), bracket(F.col("code"), label))
         .when(depends, bracket(F.col("dep_id"), F.coalesce("dep_name", F.lit(""))))
         .when(key == "headers", F.coalesce(header_lines(value), equals(F.to_json(value))))
         .when(on_certs & (key == "certificates"), F.coalesce(F.flatten(F.transform(js.element_texts(value), _lines)), equals(F.to_json(value))))
@@ -228,10 +237,6 @@ def param_lines(events: DataFrame, enums: DataFrame) -> DataFrame:
         )
         .when(split_text & text.isNotNull(), _lines(text))
         .when((key == "quic_crypto_handshake_message") & text.isNotNull(), _lines(text))
-        .when(
-            (name == PROXY_CHANGE_EVENT) & key.isin("old_config", "new_config") & js.is_object(value),
-            _lines(proxy_config_text(value)),
-        )
         .when(
             (key == "line") & name.isin(*REQUEST_HEADER_EVENTS) & text.isNotNull(),
             F.array(F.replace(text, F.lit("\r\n"), F.lit(""))),
@@ -241,4 +246,8 @@ def param_lines(events: DataFrame, enums: DataFrame) -> DataFrame:
     )
     # a NULL inside the array means the special form did not apply after all
     lines = F.when(F.exists(lines, lambda x: x.isNull()), equals(F.to_json(value))).otherwise(lines)
-    return rows.select(*EVENT_KEY, "key", F.posexplode(lines).alias("line_no", "line"))
+    # the text of proxy settings needs Python: only such params go there
+    settings = F.coalesce((name == PROXY_CHANGE_EVENT) & key.isin("old_config", "new_config") & js.is_object(value), F.lit(False))
+    plain = rows.where(~settings).select(*EVENT_KEY, "key", F.posexplode(lines).alias("line_no", "line"))
+    proxies = long.where(settings).select(*EVENT_KEY, "key", F.posexplode(_lines(proxy_config_text(value))).alias("line_no", "line"))
+    return plain.unionByName(proxies)

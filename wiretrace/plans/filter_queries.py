@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import filters as f
 from ..operators import grouping as g
 from ..operators import ranking as r
@@ -102,11 +104,11 @@ def filter_sources(spark, sf_dir):
 
 @query(
     "filter_rows_any_column",
-    """SELECT page_id, url FROM pages WHERE contains(lower(CAST(page_id AS VARCHAR)), '.net/en')
-    OR contains(lower(url), '.net/en')""",
+    """SELECT page_id, url, html FROM pages WHERE contains(lower(CAST(page_id AS VARCHAR)), '.net/en')
+    OR contains(lower(url), '.net/en') OR contains(lower(html), '.net/en')""",
 )
 def filter_rows_any_column(spark, sf_dir):
-    return f.filter_rows_any_column(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), ".NET/en")
+    return f.filter_rows_any_column(spark.read.parquet(f"{sf_dir}/pages.parquet"), ".NET/en")
 
 
 def _sorted_query(name, by, backwards, order):
@@ -142,10 +144,10 @@ def sort_sources_desc(spark, sf_dir):
 
 @query(
     "sort_rows",
-    """SELECT page_id, url, row_number() OVER (ORDER BY lower(url) DESC, page_id DESC) AS position FROM pages""",
+    """SELECT page_id, url, html, row_number() OVER (ORDER BY lower(url) DESC, page_id DESC) AS position FROM pages""",
 )
 def sort_rows(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return r.with_position(r.sort_rows(pages, "url", desc=True, tie="page_id"))
 
 
@@ -195,10 +197,10 @@ def busiest_sources(spark, sf_dir):
 
 @query(
     "union_parts",
-    f"{SRC} SELECT capture_id, source_id, event_index FROM ev WHERE phase_name <> 'PHASE_NONE'",
+    f"{SRC} SELECT capture_id, source_id, event_index FROM ev",
 )
 def union_parts(spark, sf_dir):
     # parts of a split capture concatenated again
     ev = events(spark, sf_dir).select("capture_id", "source_id", "event_index", "phase_name")
-    begins, ends = ev.where("phase_name = 'PHASE_BEGIN'"), ev.where("phase_name = 'PHASE_END'")
-    return begins.unionByName(ends).drop("phase_name")
+    parts = [ev.where(F.col("phase_name") == p).drop("phase_name") for p in ("PHASE_BEGIN", "PHASE_END", "PHASE_NONE")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

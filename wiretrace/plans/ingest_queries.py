@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import jsvalue as js
 from ..functions.text import format_time
 from ..operators import decode as d
-from ..operators import grouping as g
 from ..sources import captures as cap
 from ..sources import sample_tables as st
 from ..session import checkpoint_dir
@@ -288,20 +287,23 @@ def _file(column="capture_id"):
     return F.regexp_extract(column, "file=([^/]+)", 1).alias("file")
 
 
-@query(
-    "read_captures",
-    f"""{_FILES} SELECT file, row_number() OVER (PARTITION BY file ORDER BY event_index) AS position, source_id, type_name,
-    phase_name, source_type_name, round(time_ticks, 3) AS time_ticks, net_error FROM filed WHERE verdict = 'valid'""",
-)
-def read_captures(spark, sf_dir):
-    tables = cap.read_captures(spark, write_capture_files(spark, sf_dir), select_files=False)
-    dense = d.reindex_events(tables.events)
+_READ = f"""{_FILES} SELECT file, row_number() OVER (PARTITION BY file ORDER BY event_index) AS position, source_id, type_name,
+    phase_name, source_type_name, round(time_ticks, 3) AS time_ticks, net_error FROM filed WHERE verdict = 'valid'"""
+
+
+def _read_events(events):
+    dense = d.reindex_events(events)
     return dense.select(
         _file(), (F.col("event_index") + 1).alias("position"), "source_id", "type_name", "phase_name", "source_type_name",
         F.round("time_ticks", 3).alias("time_ticks"), "net_error",
     )
 
 
+@query("read_captures", _READ)
+def read_captures(spark, sf_dir):
+    return _read_events(cap.read_captures(spark, write_capture_files(spark, sf_dir), select_files=False).events)
+
+
 @query(
     "read_captures_report",
     f"""{_FILES} SELECT file, 'ok' AS status, count(*) FILTER (WHERE verdict <> 'malformed') AS n_seen,
@@ -316,22 +318,15 @@ def read_captures_report(spark, sf_dir):
     )
 
 
-@query(
-    "read_captures_document",
-    f"""{_FILES} SELECT file, source_id, count(*) AS event_count FROM filed WHERE verdict = 'valid' GROUP BY 1, 2""",
-)
+@query("read_captures_document", _READ)
 def read_captures_document(spark, sf_dir):
     tables = cap.read_captures(spark, write_capture_files(spark, sf_dir), layout="document", select_files=False)
-    return g.source_event_count(tables.events).select(_file(), "source_id", "event_count")
+    return _read_events(tables.events)
 
 
-@query(
-    "write_tables",
-    f"""{_FILES} SELECT file, source_id, count(*) AS event_count FROM filed WHERE verdict = 'valid' GROUP BY 1, 2""",
-)
+@query("write_tables", _READ)
 def write_tables(spark, sf_dir):
     tables = cap.read_captures(spark, write_capture_files(spark, sf_dir), select_files=False)
     folder = f"{checkpoint_dir(spark)}/capture-tables-{uuid.uuid4().hex}"
     cap.write_tables(tables, folder)
-    stored = cap.read_tables(spark, folder)
-    return g.source_event_count(stored.events).select(_file(), "source_id", "event_count")
+    return _read_events(cap.read_tables(spark, folder).events)

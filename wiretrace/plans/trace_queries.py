@@ -148,9 +148,13 @@ def find_matches(spark, sf_dir):
 
 @query(
     "find_matches_regex",
-    """SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS n FROM documents WHERE regexp_matches(text, '[0-9]')""",
+    """SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS n, array_to_string(regexp_extract_all(text, '[0-9]+'), ',') AS found
+    FROM documents WHERE regexp_matches(text, '[0-9]')""",
 )
 def find_matches_regex(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("text").alias("shown"))
     found = tr.find_matches(docs, "text", "[0-9]+", use_regex=True)
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    # what lies at the offsets, in the order of the matches
+    hit = F.substring("shown", F.col("match_start") + 1, F.col("match_end") - F.col("match_start"))
+    listed = F.array_sort(F.collect_list(F.struct("match_no", hit.alias("hit"))))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.transform(listed, lambda r: r["hit"]), ",").alias("found"))
