@@ -54,7 +54,7 @@ def group_sources(events: DataFrame, enums: DataFrame | None = None) -> DataFram
     :func:`wiretrace.operators.describe.describe_sources`.
 
     ``enums`` supplies each capture's own code for the exempt cache-miss error;
-    without it no error is exempt.
+    without it no error is exempt. The events are read once, when this is called.
     """
     parts = _per_type(events)
     if enums is None:
@@ -90,7 +90,9 @@ def group_sources(events: DataFrame, enums: DataFrame | None = None) -> DataFram
         "is_active",
         F.col("head.first_begins") & (F.coalesce("end_idx", F.lit(-1)) <= F.col("first_event_index")),
     )
-    finish = last_event_ticks(events)
+    # written once: a capture's last event is the last of its sources' last events
+    rows = cut_lineage(rows)
+    finish = rows.groupBy("capture_id").agg(F.max_by("last_ticks", "last_idx").alias("last_event_ticks"))
     end = F.when(F.col("is_active"), F.col("last_event_ticks")).otherwise(F.col("last_ticks"))
     return rows.join(finish, "capture_id").select(
         *SOURCE_KEY,
