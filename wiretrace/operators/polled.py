@@ -332,14 +332,30 @@ def reporting_reports(polled: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 def _endpoints(polled: DataFrame) -> DataFrame:
-    """Clients, their groups, their endpoints: one row per endpoint."""
+    """Clients, their groups, their endpoints: one row per endpoint.
+
+    What is shown of a client or group is taken before its list is opened, so that only
+    that goes along, and the list itself.
+    """
+    item = F.col("item")
     clients = _elements(_reporting(polled), field(F.col("blob"), "clients")).select(
-        "capture_id", F.col("pos").alias("client_pos"), F.col("item").alias("client")
+        "capture_id",
+        F.col("pos").alias("client_pos"),
+        text_or_blank(item, "origin").alias("origin"),
+        _network_key(item).alias("network_key"),
+        field(item, "groups").alias("groups"),
     )
-    groups = _elements(clients, field(F.col("client"), "groups"), "client_pos", "client").select(
-        "capture_id", "client_pos", "client", F.col("pos").alias("group_pos"), F.col("item").alias("grp")
+    client = ("client_pos", "origin", "network_key")
+    groups = _elements(clients, F.col("groups"), *client).select(
+        "capture_id",
+        *client,
+        F.col("pos").alias("group_pos"),
+        text_or_blank(item, "name").alias("group"),
+        _yes_no(item, "includeSubdomains").alias("subdomains"),
+        _number(item, "expires").alias("ticks"),
+        field(item, "endpoints").alias("endpoints"),
     )
-    return _elements(groups, field(F.col("grp"), "endpoints"), "client_pos", "client", "group_pos", "grp")
+    return _elements(groups, F.col("endpoints"), *client, "group_pos", "group", "subdomains", "ticks")
 
 
 def _uploads(counts: Column) -> Column:
@@ -349,17 +365,13 @@ def _uploads(counts: Column) -> Column:
 
 
 def reporting_endpoints(polled: DataFrame, captures: DataFrame) -> DataFrame:
-    client, group, item = F.col("client"), F.col("grp"), F.col("item")
+    item = F.col("item")
     rows = _endpoints(polled).select(
         "capture_id",
         "client_pos",
         "group_pos",
         "pos",
-        text_or_blank(client, "origin").alias("origin"),
-        _network_key(client).alias("network_key"),
-        text_or_blank(group, "name").alias("group"),
-        _yes_no(group, "includeSubdomains").alias("subdomains"),
-        _number(group, "expires").alias("ticks"),
+        *("origin", "network_key", "group", "subdomains", "ticks"),
         text_or_blank(item, "url").alias("url"),
         F.coalesce(js.to_text(field(item, "priority")), F.lit("0")).alias("priority"),
         F.coalesce(js.to_text(field(item, "weight")), F.lit("1")).alias("weight"),
