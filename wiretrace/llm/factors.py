@@ -9,8 +9,8 @@ The block of an anchor is the text of all windows that it serves.
    first document (hash aggregation with fixed-width buffers, combined before the shuffle).
 2. Parse: blocks that are in the index more than once become factors: all windows of a block
    repeat earlier text unless it is the first. Consecutive factors grow into one span, greedily.
-3. Boundaries: where a factor ends, a block is equal to others only in part. Its windows are
-   compared one by one, again by aggregation.
+3. Boundaries: where a factor ends, a block is equal to others only in part. Of blocks with equal
+   contents the first one's windows are compared one by one, again by aggregation.
 
 Only candidates are shuffled: two bitmaps of fixed size (repeated anchors, anchors of unequal
 blocks) are built in slices and given to the tasks that read the texts a second time. When they
@@ -136,28 +136,37 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
             for part in pieces(batches, 2):
                 b = Blocks(Words(part.column(2)), window, anchor)
                 keys, digests, first = part.column(0).to_numpy(), part.column(1).to_numpy(), b.words.first
-                whole = np.flatnonzero(_has(repeated.value, b.anchor))
-                edges = np.flatnonzero(_has(unequal.value, b.anchor))
-                at, content = b.windows(edges)
-                row = np.concatenate((b.row[whole], np.searchsorted(first, at, side="right") - 1))
-                lo, hi = np.concatenate((b.lo[whole], at)), np.concatenate((b.hi[whole], at + 1))
+                equal, edge = _has(repeated.value, b.anchor), _has(unequal.value, b.anchor)
+                which = np.concatenate((np.flatnonzero(equal), np.flatnonzero(edge)))
+                n_equal = int(equal.sum())
+                _, content = b.windows(which[n_equal:])
+                sizes = np.where(np.arange(len(which)) < n_equal, 0, (b.hi - b.lo)[which])
+                row = b.row[which]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(len(row)) >= len(whole)),
-                        _long(np.concatenate((b.anchor[whole], content))),
+                        pa.array(np.arange(len(which)) >= n_equal),
+                        _long(np.concatenate((b.anchor[which[:n_equal]], b.content[which[n_equal:]]))),
                         _long(keys[row]),
                         _long(digests[row]),
-                        _long(lo - first[row]),
-                        _long(hi - first[row]),
+                        _long(b.lo[which] - first[row]),
+                        _long(b.hi[which] - first[row]),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), _long(content)),
                     ],
-                    names=["single", "code", "doc_id", "digest", "lo", "hi"],
+                    names=["edge", "code", "doc_id", "digest", "lo", "hi", "windows"],
                 )
 
-    marks = stored(keyed.mapInArrow(candidates, "single boolean, code long, doc_id long, digest long, lo long, hi long"), "factor-candidates")
-    singles = marks.where("single")
-    windows = singles.groupBy("code").agg(F.count("*").alias("n"), F.min("doc_id").alias("ref")).where("n > 1").select("code", "ref")
+    marks = stored(keyed.mapInArrow(candidates, "edge boolean, code long, doc_id long, digest long, lo long, hi long, windows array<long>"), "factor-candidates")
     blocks = found.where("equal").select(F.col("anchor").alias("code"), "ref")
-    hits = marks.where("not single").join(blocks, "code").unionByName(singles.join(windows, "code"))
+    whole = marks.where("not edge").drop("edge", "windows").join(blocks, "code").withColumn("single", F.lit(False))
+    # Of equal contents among unequal blocks all but those of the first document repeat in whole;
+    # the earliest place of every window is in one that is left, so only those are taken apart.
+    edges = marks.where("edge").drop("edge")
+    edges = stored(edges.join(edges.groupBy("code").agg(F.min("doc_id").alias("ref")), "code"), "factor-boundaries")
+    later = edges.where("doc_id <> ref").drop("windows").withColumn("single", F.lit(False))
+    singles = edges.where("doc_id = ref").select("doc_id", "digest", "lo", F.posexplode("windows").alias("at", "code")).select("code", "doc_id", "digest", (F.col("lo") + F.col("at")).alias("lo"))
+    windows = singles.groupBy("code").agg(F.count("*").alias("n"), F.min("doc_id").alias("ref")).where("n > 1").select("code", "ref")
+    parts = singles.join(windows, "code").withColumns({"hi": F.col("lo") + 1, "single": F.lit(True)})
+    hits = whole.unionByName(later).unionByName(parts)
     # In the first document of a code only its earliest place is new, so the code goes along.
     return (
         hits.groupBy("doc_id", "digest")
