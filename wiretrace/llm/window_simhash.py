@@ -9,8 +9,8 @@ by the exact similarity of the shingles' weights.
 
 The weight of a shingle is one over the number of items that hold it (one, if none does), and the
 similarity of window and item is the sum of the smaller over the sum of the larger weights times
-counts. A window that could not reach the threshold with all its shingles known from the
-benchmark counting in full is not hashed; that leaves the result as it is.
+counts. A window that could not reach the threshold with all its shingles from the
+items of its size counting in full is not hashed; that leaves the result as it is.
 
 Words are of letters and digits, A-Z lower-cased.
 """
@@ -67,6 +67,8 @@ class Index:
     weight: dict[int, float]  # weight of each shingle of the benchmark
     known: np.ndarray  # the shingles, sorted
     known_weight: np.ndarray
+    size_first: np.ndarray  # for each known shingle where its run of item_sizes begins
+    item_sizes: np.ndarray  # the sizes of the items that hold a shingle, each once
     lists: list[list[np.ndarray]]  # of each part, for each value, items within reach
 
     @staticmethod
@@ -80,6 +82,13 @@ class Index:
         held = Counter(h for c in shingles for h in c)
         weight = {h: 1 / n for h, n in held.items()}
         known = np.array(sorted(weight), U)
+        of: dict[int, set[int]] = {}
+        for n, c in zip(sizes.tolist(), shingles):
+            for h in c:
+                of.setdefault(h, set()).add(n)
+        runs = [sorted(of[int(h)]) for h in known]
+        size_first = np.concatenate(([0], np.cumsum([len(r) for r in runs]))).astype(np.int64)
+        item_sizes = np.array([n for r in runs for n in r], np.int64)
         lists = []
         for shift, bits in _parts():
             own = (prints >> U(shift)) & U((1 << bits) - 1)
@@ -92,7 +101,7 @@ class Index:
                 near = distinct[np.bitwise_count(distinct ^ v) <= RADIUS // PARTS]
                 found.append(np.concatenate([groups[int(x)] for x in near]) if len(near) else np.zeros(0, np.int64))
             lists.append(found)
-        return Index(ids, sizes, prints, shingles, weight, known, np.array([weight[int(k)] for k in known]), lists)
+        return Index(ids, sizes, prints, shingles, weight, known, np.array([weight[int(k)] for k in known]), size_first, item_sizes, lists)
 
     def near(self, fp: np.uint64) -> np.ndarray:
         """Items within RADIUS bits of a fingerprint."""
@@ -121,33 +130,43 @@ def _leaks(column: pa.Array, index: Index, threshold: float) -> list[tuple[int,
     hit = index.known[at] == hashes
     if not hit.any():
         return []
-    gain = np.where(hit, index.known_weight[at], 0.0)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     weights = np.array([sum(n * index.weight[h] for h, n in c.items()) for c in index.shingles])
     least = {int(n): threshold * weights[index.sizes == n].min() for n in np.unique(index.sizes) if n}
-    for d in np.unique(np.searchsorted(first, np.flatnonzero(hit), side="right") - 1):
-        own = hashes[first[d] : first[d + 1]]
-        total = np.concatenate(([0.0], np.cumsum(gain[first[d] : first[d + 1]])))
+    # A shingle counts for windows of a size only if an item of that size holds it.
+    place = np.flatnonzero(hit)
+    known = at[place]
+    count = np.diff(index.size_first)[known]
+    place = np.repeat(place, count)
+    size = index.item_sizes[np.repeat(index.size_first[known] - (np.cumsum(count) - count), count) + np.arange(len(place))]
+    gain = np.repeat(index.known_weight[known], count)
+    doc = np.searchsorted(first, place, side="right") - 1
+    order = np.lexsort((place, size, doc))
+    place, size, gain, doc = place[order], size[order], gain[order], doc[order]
+    edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (size[1:] != size[:-1]), [True])))
+    for a, b in zip(edge, edge[1:]):
+        d, n = int(doc[a]), int(size[a])
         words = int(w.first[d + 1] - w.first[d])
-        for n, need in least.items():
-            if words < n or (n < SHINGLE and words != n):
-                continue
-            length = max(1, n - SHINGLE + 1)
-            starts = np.flatnonzero(total[length:] - total[:-length] >= need - 1e-9)
-            if not len(starts):
-                continue
-            for a in range(0, len(starts), 1024):
-                some = starts[a : a + 1024]
-                rows = own[(some[:, None] + np.arange(length)[None, :])]
-                prints = majority_bits(rows.ravel(), np.arange(len(some) + 1) * length)
-                for s, fp, row in zip(some, prints, rows):
-                    items = [int(i) for i in index.near(fp) if index.sizes[i] == n]
-                    if items:
-                        counts = Counter(row.tolist())
-                        for i in items:
-                            value = index.similarity(counts, i)
-                            if value >= threshold and value > best.get((int(d), i), (0.0,))[0]:
-                                best[int(d), i] = (value, int(s), n)
+        if gain[a:b].sum() < least[n] - 1e-9 or words < n or (n < SHINGLE and words != n):
+            continue
+        own = hashes[first[d] : first[d + 1]]
+        length = max(1, n - SHINGLE + 1)
+        total = np.zeros(len(own) + 1)
+        total[place[a:b] - first[d] + 1] = gain[a:b]
+        total = np.cumsum(total)
+        starts = np.flatnonzero(total[length:] - total[:-length] >= least[n] - 1e-9)
+        for i in range(0, len(starts), 1024):
+            some = starts[i : i + 1024]
+            rows = own[some[:, None] + np.arange(length)[None, :]]
+            prints = majority_bits(rows.ravel(), np.arange(len(some) + 1) * length)
+            for s, fp, row in zip(some, prints, rows):
+                items = [int(k) for k in index.near(fp) if index.sizes[k] == n]
+                if items:
+                    counts = Counter(row.tolist())
+                    for k in items:
+                        value = index.similarity(counts, k)
+                        if value >= threshold and value > best.get((d, k), (0.0,))[0]:
+                            best[d, k] = (value, int(s), n)
     return [(d, i, s, n, v) for (d, i), (v, s, n) in best.items()]
 
 
