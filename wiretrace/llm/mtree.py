@@ -34,7 +34,7 @@ SCALE = 64
 K = 20
 QUERY_EVERY = 20
 TREE_ROWS = 4096
-PAGE = 64
+PAGE = 256
 QUERY_BLOCK = 512
 PIVOTS = 256
 #: rows looked at to choose pivots
