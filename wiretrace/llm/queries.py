@@ -48,7 +48,27 @@ def op3_passage_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .factors import remove_repeated
 
     out = remove_repeated(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op3_passage_factors"] = """
+WITH w AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h FROM w, unnest(range(1, len(ws) - 18)) AS t(i)
+), flag AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM win) WHERE n > 1
+), word AS (
+  SELECT doc_id, j, ws[j] AS word FROM w, unnest(range(1, len(ws) + 1)) AS t(j)
+), mark AS (
+  SELECT word.doc_id, j, word, max(i) OVER (PARTITION BY word.doc_id ORDER BY j) AS last
+  FROM word LEFT JOIN flag ON word.doc_id = flag.doc_id AND i = j
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM mark WHERE last IS NULL OR last < j - 19 GROUP BY doc_id
+)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
 
 
 @query
