@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,16 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
     return getattr(home, name)
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task. A Python worker lives on, and
+    what its allocators hold would add to the memory of all that runs on the executor later."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 class TwoGenerations:
     """A bounded cache: when the young part is full it becomes the old one, which is let go.
 

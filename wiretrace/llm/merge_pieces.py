@@ -14,18 +14,19 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 from operator import concat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import TwoGenerations, id_text, worker_cache
+from .common import TwoGenerations, id_text, release, worker_cache
 
 MARK = "▁"
-CACHED_CHUNKS = 400_000
+#: chunks kept twice over (see TwoGenerations), at about 150 bytes each in every Python worker
+CACHED_CHUNKS = 200_000
 CACHED_CHARS = 48
 #: rows taken from an Arrow batch at a time
 ROWS = 256
@@ -115,15 +116,15 @@ class MergeCoder:
         new = self.kept.missing(seen)
         young, merge = self.kept.young, self.merge
         for c in new:
-            young[c] = merge(c if c[0] == MARK else MARK + c)
+            young[c] = array("I", merge(c if c[0] == MARK else MARK + c)).tobytes()
         if self.check and new:
             # One text a call: calls with a list start threads of the library's own. The library puts
             # a mark before each text itself; a mark alone would be no text to it.
             encode = self.lib.encode
             for c in new:
-                if c != MARK and tuple(encode(c[1:] if c[0] == MARK else c)) != young[c]:
+                if c != MARK and array("I", encode(c[1:] if c[0] == MARK else c)).tobytes() != young[c]:
                     raise ValueError(f"the library encodes {c[:80]!r} in another way")
-        out = [list(chain.from_iterable(map(young.__getitem__, chunks))) for chunks in split]
+        out = [array("I", b"".join(map(young.__getitem__, chunks))).tolist() for chunks in split]
         for c in new:
             if len(c) > CACHED_CHARS:
                 del young[c]
@@ -144,6 +145,7 @@ def _coded(docs: DataFrame, model: bytes, check: bool, schema: str, rows) -> Dat
                 part = batch.slice(i, ROWS)
                 columns = rows(coder, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields))], names=["doc_id", *(n for n, _ in fields)])
+        release()
 
     return id_text(docs).mapInArrow(run, f"doc_id long, {schema}")
 

@@ -13,12 +13,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from .common import worker_cache
+from .common import release, worker_cache
 
 U = np.uint64
 LONG = 256
 #: bytes of text worked on at a time; a longer document is worked on alone
-PIECE = 2 << 20
+PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: separators where only letters and digits count: every ASCII byte that is neither
@@ -40,6 +40,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, size: int = PIECE) -> I
             held += int(n)
         if at < len(lengths):
             yield batch.slice(at)
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
