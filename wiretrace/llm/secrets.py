@@ -17,6 +17,8 @@ bins of their logarithm, a table of bounded size; a bin counts with its larger e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,14 +59,23 @@ def _before(lengths: Column) -> Column:
     return F.flatten(F.zip_with(base, parts, lambda b, p: F.transform(p["sums"], lambda x: x + b)))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, as the variable of a lambda; used directly, the
+    expression would be in the plan, and computed, once for each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_all(text: Column, pattern: str, possible: Column | None = None) -> Column:
     """array<struct<start: long, end: long, match: string>> of the leftmost non-overlapping
     matches, in code points. ``possible``: false where there is surely none."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    sizes = F.zip_with(gaps, found, lambda g, m: (F.coalesce(F.char_length(g), F.lit(0)) + F.coalesce(F.char_length(m), F.lit(0))).cast("long"))
-    end = F.zip_with(_before(sizes), sizes, lambda a, b: a + b)
-    spans = F.zip_with(F.slice(end, 1, F.size(found)), found, lambda e, m: F.struct((e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("match")))
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    length = lambda s: F.coalesce(F.char_length(s), F.lit(0))
+
+    def placed(found: Column, sizes: Column) -> Column:
+        end = F.zip_with(_before(sizes), sizes, lambda a, b: a + b)
+        return F.zip_with(F.slice(end, 1, F.size(found)), found, lambda e, m: F.struct((e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("match")))
+
+    spans = _let(both, lambda p: _let(F.zip_with(p["gaps"], p["found"], lambda g, m: (length(g) + length(m)).cast("long")), lambda s: placed(p["found"], s)))
     none = F.array().cast("array<struct<start: long, end: long, match: string>>")
     return F.when(F.coalesce(possible if possible is not None else text.rlike(pattern), F.lit(False)), spans).otherwise(none)
 
@@ -92,9 +103,13 @@ def battery(token: Column, alphabet: Column) -> Column:
     df = size - 1
     chi = (F.cbrt(F.greatest(size / n * squares - n, F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
     values = F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c).cast("double"))
-    # One pass over neighbours: sums for the correlation, changes of side for the runs.
+    return F.when(n > 1, _let(values, lambda v: _tests(v, n, size, chi))).otherwise(F.lit(1.0))
+
+
+def _tests(values: Column, n: Column, size: Column, chi: Column) -> Column:
+    """One pass over neighbours: sums for the correlation, changes of side for the runs."""
     middle = (size + 1) / 2
-    first, count = F.element_at(values, 1), F.size(values)
+    first = F.element_at(values, 1)
     zero = F.struct(*[F.lit(0.0).alias(k) for k in ("sum", "square", "product", "changes", "high")], first.alias("last"))
     side = lambda v: (v > middle).cast("double")
 
@@ -116,7 +131,7 @@ def battery(token: Column, alphabet: Column) -> Column:
         half = -(F.log(_tail(chi)) + F.log(F.least(2 * _tail(serial), F.lit(1.0))) + F.log(F.least(2 * _tail(runs), F.lit(1.0))))
         return F.exp(-half) * (1 + half + half * half / 2)
 
-    return F.when(count > 1, F.aggregate(values, zero, step, judge)).otherwise(F.lit(1.0))
+    return F.aggregate(values, zero, step, judge)
 
 
 def _by_encoding(token: Column, value: dict[str, str]) -> Column:
@@ -136,7 +151,8 @@ def _candidates(text: Column) -> Column:
     def judged(s: Column) -> Column:
         # the alphabet of base 64 has two ways to write its last symbols
         body = F.translate(F.regexp_replace(s["match"], "=+$", ""), "-_", "+/")
-        p = battery(body, _by_encoding(s["match"], letters))
+        told = F.struct(body.alias("token"), _by_encoding(s["match"], letters).alias("alphabet"))
+        p = _let(told, lambda x: battery(x["token"], x["alphabet"]))
         bin_ = F.least(F.floor(-F.log(F.greatest(p, F.lit(1e-300))) * BINS_A_UNIT), F.lit(MOST_BIN)).cast("int")
         length = F.floor(F.log2((s["end"] - s["start"]).cast("double"))).cast("string")
         stratum = F.concat_ws(":", _by_encoding(s["match"], {k: k for k in ENCODINGS}), length)
