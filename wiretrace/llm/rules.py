@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, release
 
 SAMPLE = 20_000
 TREES = 40
@@ -179,9 +179,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out:
     if held_out:
         known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows, names = with_statistics(id_text(docs).join(known, "doc_id"))
+    rows, names = with_statistics(id_text(docs).join(F.broadcast(known), "doc_id"))
     got = rows.select("doc_id", "label", *names).toArrow().sort_by([("doc_id", "ascending"), *((n, "ascending") for n in names)])
-    return fit(np.column_stack([got[n].to_numpy() for n in names]) if len(got) else np.zeros((0, len(names))), got["label"].to_numpy(), names)
+    learned = fit(np.column_stack([got[n].to_numpy() for n in names]) if len(got) else np.zeros((0, len(names))), got["label"].to_numpy(), names)
+    release()
+    return learned
 
 
 def quality(docs: DataFrame, rules: RuleSet, threshold: float = THRESHOLD) -> DataFrame:
