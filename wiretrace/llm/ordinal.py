@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: bo
     if held_out:
         known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = stored(id_text(docs).join(known, "doc_id"), "severity-sample")
+    rows = stored(id_text(docs).join(F.broadcast(known), "doc_id"), "severity-sample")
     size = rows.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     n, toxic = size["n"], size["toxic"] or 0
     if not toxic or toxic == n:
