@@ -57,6 +57,13 @@ def test_extra_columns_and_empty(spark, docs):
         assert stage(spark, docs.limit(0), SF).collect() == []
 
 
+def test_benchmark_items_take_only_their_own_rows(spark, docs):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, item, "en", "s", 1), (None, "a clean text of seven words here", "en", "s", 1), (8, item, "en", "s", 1), (8, "another clean text", "en", "s", 1), (8, None, "en", "s", 0), (9, item, "en", "s", 1)]
+    kept = P.benchmark_stage(spark, spark.createDataFrame(rows, docs.schema), SF).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, ((k, t) for k, t, *_ in rows if t != item)))
+
+
 def test_run(spark):
     out = P.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids"] and 0 < out.count() < 200

@@ -185,10 +185,11 @@ def benchmark_indexes(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, digest: bool = False) -> DataFrame:
     """doc_id, item_id, start (word), n_words, similarity: for every document and item the window
     of the item's size that is most alike (the earliest of equals), if it is at least
-    ``threshold``.
+    ``threshold``. With ``digest`` also digest (md5) of the document's text, as ids may be null
+    or repeated.
 
     Null or empty texts and items match nothing; an item of under five words matches only a whole
     text; repeated rows repeat their matches; empty tables give no rows. Texts are read where
@@ -196,6 +197,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMIL
     """
     spark = docs.sparkSession
     docs, found = id_text(docs), []
+    schema = "doc_id long, item_id long, start long, n_words long, similarity double"
+    if digest:
+        docs, schema = docs.withColumn("digest", F.md5("text")), schema + ", digest string"
     for index in benchmark_indexes(benchmark):
         shared = spark.sparkContext.broadcast(index)
 
@@ -203,20 +207,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMIL
             index = shared.value
             for part in pieces(batches, 1):
                 hits = sorted(_leaks(part.column(1), index, threshold))
+                rows = pa.array([h[0] for h in hits], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).take(pa.array([h[0] for h in hits], pa.int64())),
+                        part.column(0).take(rows),
                         pa.array([index.ids[h[1]] for h in hits], pa.int64()),
                         pa.array([h[2] for h in hits], pa.int64()),
                         pa.array([h[3] for h in hits], pa.int64()),
                         pa.array([h[4] for h in hits], pa.float64()),
+                        *[part.column(k).take(rows) for k in range(2, part.num_columns)],
                     ],
-                    names=["doc_id", "item_id", "start", "n_words", "similarity"],
+                    names=["doc_id", "item_id", "start", "n_words", "similarity", *part.schema.names[2:]],
                 )
 
-        found.append(docs.mapInArrow(run, "doc_id long, item_id long, start long, n_words long, similarity double"))
+        found.append(docs.mapInArrow(run, schema))
     if not found:
-        return spark.createDataFrame([], "doc_id long, item_id long, start long, n_words long, similarity double")
+        return spark.createDataFrame([], schema)
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
