@@ -97,6 +97,24 @@ def test_random_strings_stay_and_words_go(spark):
     assert sum(got[k] for k in range(160)) >= 155 and not any(got[k] for k in range(160, len(got)))
 
 
+def test_every_candidate_is_tested(spark):
+    rng = random.Random(5)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [lower + upper + digits, lower + digits, upper + digits, lower + "234567", lower + upper, lower, upper]
+    rows, spans = [], []
+    for before in ("see ", "STRIPE_KEY=", "https://h.example/a?sid=", "export A_NAME_OF_MORE_THAN_TWENTY="):
+        for alphabet in alphabets:
+            for _ in range(6):
+                token = "".join(rng.choice(alphabet) for _ in range(32))
+                rows.append((len(rows), f"{before}{token} end"))
+                spans.append((len(before), len(before) + 32))
+    plain = ["ab" * 20, "a" * 40, "a1" * 20, "A-b-" * 10, "ABCABCABC" * 5]
+    rows += [(k, f"see {t} end") for k, t in enumerate(plain * 20, len(rows))]
+    got = {r.doc_id: {(s.start, s.end) for s in r.secrets if s.kind == 3} for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(span in got[k] for k, span in enumerate(spans)) >= 0.95 * len(spans)
+    assert not any(got[k] for k in range(len(spans), len(rows)))
+
+
 def test_texts_of_spans(spark):
     data = [("a token=abcdefgh1 😀 " + "ab01" * 10 + "!", [(2, 0, 17), (20, 2, 60)]), ("xyz", [(0, 0, 2), (1, 2, 3)]), ("xyz", []), (None, [])]
     df = spark.createDataFrame(data, "text string, s array<struct<start: long, kind: int, end: long>>")

@@ -2,7 +2,8 @@
 
 Base finds are fixed patterns. Beyond them, every long run of key characters is a candidate:
 
-1. Its encoding is inferred (hexadecimal, base 32, base 64), which gives the alphabet.
+1. Its encoding is inferred (hexadecimal, base 32, letters and digits of one case, letters only,
+   base 64), which gives the alphabet; what fits no other is tested over that of base 64.
 2. Three tests ask whether it looks drawn at random from that alphabet: chi-squared for even use
    of the symbols, runs above and below the middle, serial correlation of neighbours. Their
    p-values are combined by Fisher's method.
@@ -32,20 +33,29 @@ ACCESS_LEAST = 16
 HEX = "[0-9a-f]{32,}"  # runs of 32 or more are what is left of all runs
 
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
-#: every encoding asks for a digit, so a text without this has no candidate
-POSSIBLE = "(?=[A-Za-z0-9+/_=-]{20})[A-Za-z+/_=-]*+[0-9]"
+#: '=' is padding at the end only: in NAME=value it parts the two
+CANDIDATE = "[A-Za-z0-9+/_-]{20,}=*"
+POSSIBLE = "[A-Za-z0-9+/_-]{20}"
 FDR = 0.01
 BINS_A_UNIT = 16
 MOST_BIN = 4000
 CHUNK = 512
 
-#: encoding: pattern it must match, further pattern that must be found, alphabet (fixed values)
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: encoding: pattern it must match, further pattern that must be found, alphabet (fixed values);
+#: the first that fits, and the last fits every candidate
 ENCODINGS = {
     "hex": ("^[0-9a-f]+$", "[0-9]", "0123456789abcdef"),
     "HEX": ("^[0-9A-F]+$", "[0-9]", "0123456789ABCDEF"),
-    "base32": ("^[A-Z2-7]+=*$", "[2-7]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    "base64": ("^[A-Za-z0-9+/_-]+=*$", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    "base32": ("^[A-Z2-7]+=*$", "[2-7]", _UPPER + "234567"),
+    "base32-lower": ("^[a-z2-7]+=*$", "[2-7]", _LOWER + "234567"),
+    "base36": ("^[a-z0-9]+=*$", "[0-9]", _LOWER + _DIGITS),
+    "BASE36": ("^[A-Z0-9]+=*$", "[0-9]", _UPPER + _DIGITS),
+    "lower": ("^[a-z]+=*$", "", _LOWER),
+    "upper": ("^[A-Z]+=*$", "", _UPPER),
+    "letters": ("^[A-Za-z]+=*$", "", _UPPER + _LOWER),
+    "base64": ("^[A-Za-z0-9+/_-]+=*$", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", _UPPER + _LOWER + _DIGITS + "+/"),
+    "general": ("^[A-Za-z0-9+/_-]+=*$", "", _UPPER + _LOWER + _DIGITS + "+/"),
 }
 
 
@@ -134,31 +144,32 @@ def _tests(values: Column, n: Column, size: Column, chi: Column) -> Column:
     return F.aggregate(values, zero, step, judge)
 
 
-def _by_encoding(token: Column, value: dict[str, str]) -> Column:
-    """A value for the first encoding that a token fits, null if none."""
+def _encoding(token: Column) -> Column:
+    """The first encoding that a candidate fits."""
     out = F.lit(None).cast("string")
     for name, (whole, part, _) in reversed(ENCODINGS.items()):
-        out = F.when(token.rlike(whole) & token.rlike(part), F.lit(value[name])).otherwise(out)
+        out = F.when(token.rlike(whole) & token.rlike(part) if part else token.rlike(whole), F.lit(name)).otherwise(out)
     return out
 
 
 def _candidates(text: Column) -> Column:
-    """array<struct<start, end, stratum, bin>> of the candidates with an encoding."""
-    found = find_all(text, CANDIDATE, text.rlike(POSSIBLE))
-    coded = F.filter(found, lambda s: _by_encoding(s["match"], {k: k for k in ENCODINGS}).isNotNull())
-    letters = {k: v[2] for k, v in ENCODINGS.items()}
+    """array<struct<start, end, stratum, bin>> of the candidates."""
+    alphabets = F.create_map(*[F.lit(x) for name, (_, _, letters) in ENCODINGS.items() for x in (name, letters)])
 
     def judged(s: Column) -> Column:
         # the alphabet of base 64 has two ways to write its last symbols
         body = F.translate(F.regexp_replace(s["match"], "=+$", ""), "-_", "+/")
-        told = F.struct(body.alias("token"), _by_encoding(s["match"], letters).alias("alphabet"))
-        p = _let(told, lambda x: battery(x["token"], x["alphabet"]))
-        bin_ = F.least(F.floor(-F.log(F.greatest(p, F.lit(1e-300))) * BINS_A_UNIT), F.lit(MOST_BIN)).cast("int")
+        told = F.struct(body.alias("token"), _encoding(s["match"]).alias("encoding"))
         length = F.floor(F.log2((s["end"] - s["start"]).cast("double"))).cast("string")
-        stratum = F.concat_ws(":", _by_encoding(s["match"], {k: k for k in ENCODINGS}), length)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), stratum.alias("stratum"), F.greatest(bin_, F.lit(0)).alias("bin"))
 
-    return F.transform(coded, judged)
+        def result(x: Column) -> Column:
+            p = _let(F.element_at(alphabets, x["encoding"]), lambda letters: battery(x["token"], letters))
+            bin_ = F.least(F.floor(-F.log(F.greatest(p, F.lit(1e-300))) * BINS_A_UNIT), F.lit(MOST_BIN)).cast("int")
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat_ws(":", x["encoding"], length).alias("stratum"), F.greatest(bin_, F.lit(0)).alias("bin"))
+
+        return _let(told, result)
+
+    return F.transform(find_all(text, CANDIDATE, text.rlike(POSSIBLE)), judged)
 
 
 def rejected_from(counts: DataFrame, level: float = FDR) -> dict[str, int]:
