@@ -63,6 +63,18 @@ def max_step(out: str, value: Column) -> _Step:
     )
 
 
+def xor_step(out: str, value: Column) -> _Step:
+    """Exclusive or of ``value`` up to and including this row."""
+    return _Step(
+        out,
+        value,
+        total=F.bit_xor,
+        carry=lambda c, w: F.coalesce(F.bit_xor(c).over(w), F.lit(0)),
+        local=lambda c, w: _upto(w, c, F.bit_xor),
+        combine=lambda c, x: c.bitwiseXOR(x),
+    )
+
+
 def running(
     df: DataFrame, keys: Sequence[str], order: str, steps: Sequence[_Step], bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
