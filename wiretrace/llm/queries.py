@@ -157,3 +157,54 @@ WITH v AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op12_prefix_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations with its members, children and savings."""
+    from .prefix_rollup import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("last_bytes")
+
+
+ORACLES["op12_prefix_rollup"] = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), bits AS (  -- CRC-32 of the decimal conv_id, bit by bit
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT conv_id FROM t)
+  UNION ALL
+  SELECT conv_id, s, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END
+  FROM (SELECT *, CASE WHEN i % 8 = 0 THEN xor(c, CAST(ascii(s[i // 8 + 1]) AS BIGINT)) ELSE c END AS x FROM bits WHERE i < 8 * length(s))
+), conv AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(c, CAST(4294967295 AS BIGINT)) % 9 AS h FROM bits WHERE i = 8 * length(s)
+), made AS (
+  SELECT conv.conv_id, 0 AS part, t.pos, t.role, t.text FROM conv JOIN t ON t.conv_id = base AND pos <= h
+  UNION ALL
+  SELECT conv.conv_id, 1, t.pos, t.role, t.text FROM conv JOIN t ON t.conv_id = conv.conv_id AND pos > h
+), seq AS (
+  SELECT conv.conv_id, coalesce(l, []) AS l, coalesce(b, []) AS b
+  FROM conv LEFT JOIN (
+    SELECT conv_id, list(md5(role || chr(0) || text) ORDER BY part, pos) AS l, list(octet_length(encode(text)) ORDER BY part, pos) AS b FROM made GROUP BY conv_id
+  ) USING (conv_id)
+), pre AS (
+  SELECT conv_id, len(l) AS n, d, array_to_string(l[1:d], ',') AS k, array_to_string(l[1:d - 1], ',') AS p, CASE WHEN d > 0 THEN b[d] ELSE 0 END AS bytes
+  FROM seq, unnest(range(0, len(l) + 1)) AS u(d)
+), node AS (
+  SELECT d, k, CASE WHEN d > 0 THEN min(p) END AS p, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS w,
+         sha256(coalesce(string_agg(CASE WHEN n = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM pre GROUP BY d, k
+), kids AS (
+  SELECT d - 1 AS d, p AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY d, p
+), full_node AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids ON node.d = kids.d AND node.k = kids.k
+), below AS (
+  SELECT a.d, a.k, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(b.w) AS saved_tokens
+  FROM full_node a JOIN full_node b ON b.d >= a.d AND (a.d = 0 OR b.k = a.k OR starts_with(b.k, a.k || ','))
+  GROUP BY a.d, a.k
+)
+SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, a.n_convs, CAST(a.n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM full_node a JOIN below ON a.d = below.d AND a.k = below.k LEFT JOIN full_node p ON p.d = a.d - 1 AND p.k = a.p
+"""
