@@ -70,59 +70,49 @@ def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def blocks_of(turns: DataFrame, convs: DataFrame) -> DataFrame:
     """conv_id, block, k1, k2 (of all turns before the block), e1, e2 (with the block's), n (turns
-    in the block), t1..t8 (struct of ta, tb, bytes, or null). Every conversation has a block 0."""
-    slot = (F.col("pos") - 1) % WIDTH
-    one = F.struct("ta", "tb", "bytes")
+    in the block), t1..t8 (struct of x1, x2, bytes, or null). Every conversation has a block 0.
+
+    x1 and x2 are the id of a turn with its place; keys are the exclusive or of those passed.
+    """
     made = (
-        turns.withColumn("block", F.floor((F.col("pos") - 1) / WIDTH))
+        turns.select("conv_id", F.expr(f"(pos - 1) div {WIDTH}").alias("block"), F.expr(f"(pos - 1) % {WIDTH}").alias("slot"), *[place_hash(s, "pos", "ta", "tb").alias(f"x{s}") for s in (1, 2)], "bytes")
         .groupBy("conv_id", "block")
         .agg(
-            F.count("*").alias("n"),
-            *[F.bit_xor(place_hash(seed, "pos", "ta", "tb")).alias(f"x{seed}") for seed in (1, 2)],
-            *[F.max(F.when(slot == i, one)).alias(f"t{i + 1}") for i in range(WIDTH)],
+            F.expr("count(*) AS n"),
+            *[F.expr(f"bit_xor(x{s}) AS x{s}") for s in (1, 2)],
+            *[F.expr(f"max(CASE WHEN slot = {i} THEN struct(x1, x2, bytes) END) AS t{i + 1}") for i in range(WIDTH)],
         )
     )
-    keyed = running(made, ["conv_id"], "block", [xor_step(f"e{seed}", F.col(f"x{seed}")) for seed in (1, 2)])
-    keyed = keyed.select(
-        "conv_id", "block", "n", *[F.col(f"e{s}").bitwiseXOR(F.col(f"x{s}")).alias(f"k{s}") for s in (1, 2)], "e1", "e2", *[f"t{i + 1}" for i in range(WIDTH)]
-    )
-    silent = convs.join(made.where("block = 0").select("conv_id"), "conv_id", "left_anti")
-    none = {c: F.lit(0).cast("long") for c in ("block", "n", "k1", "k2", "e1", "e2")}
-    empty = F.lit(None).cast("struct<ta:bigint,tb:bigint,bytes:bigint>")
-    return keyed.unionByName(silent.select("conv_id", *[v.alias(c) for c, v in none.items()], *[empty.alias(f"t{i + 1}") for i in range(WIDTH)]))
+    places = [f"t{i + 1}" for i in range(WIDTH)]
+    keyed = running(made, ["conv_id"], "block", [xor_step(f"e{s}", F.col(f"x{s}")) for s in (1, 2)])
+    keyed = keyed.selectExpr("conv_id", "block", "n", "e1 ^ x1 AS k1", "e2 ^ x2 AS k2", "e1", "e2", *places)
+    silent = convs.join(turns.where("pos = 1").select("conv_id"), "conv_id", "left_anti")
+    empty = [f"CAST(NULL AS struct<x1:bigint,x2:bigint,bytes:bigint>) AS {t}" for t in places]
+    return keyed.unionByName(silent.selectExpr("conv_id", *[f"0L AS {c}" for c in ("block", "n", "k1", "k2", "e1", "e2")], *empty))
 
 
 def rolled_up(blocks: DataFrame, sums: dict[str, str]) -> DataFrame:
-    """One row a node: depth, k1, k2 (its key), p1, p2 (its parent's), bytes of its last text, and
+    """One row a node: depth, n1, n2 (its key), p1, p2 (its parent's), bytes of its last text, and
     ``sums`` (name to SQL aggregate)."""
-    columns = ", ".join(f"t{i + 1}" for i in range(WIDTH))
-    grouped = blocks.sparkSession.sql(
-        f"SELECT block, k1, k2, {columns}, grouping_id() AS gid, {', '.join(f'{v} AS {k}' for k, v in sums.items())} FROM {{blocks}} GROUP BY block, k1, k2, ROLLUP ({columns})",
+    places = [f"t{i + 1}" for i in range(WIDTH)]
+    columns = ", ".join(places)
+    key = {s: " ^ ".join([f"k{s}", *[f"coalesce({t}.x{s}, 0L)" for t in places]]) for s in (1, 2)}
+    # grouping_id has a bit for each column rolled up: 255 is the bare key, 0 all eight turns.
+    # A conversation that ends before a depth has no turn there and is no member.
+    return blocks.sparkSession.sql(
+        f"""
+        WITH grouped AS (
+          SELECT block, k1, k2, {columns}, {WIDTH} - bit_count(grouping_id()) AS level, {", ".join(f"{v} AS {k}" for k, v in sums.items())}
+          FROM {{blocks}} GROUP BY block, k1, k2, ROLLUP ({columns})
+        ), keyed AS (
+          SELECT block, level, {key[1]} AS n1, {key[2]} AS n2, CASE level {" ".join(f"WHEN {i + 1} THEN {t}" for i, t in enumerate(places))} END AS last, {", ".join(sums)}
+          FROM grouped WHERE CASE WHEN level = 0 THEN block = 0 ELSE CASE level {" ".join(f"WHEN {i + 1} THEN {t} IS NOT NULL" for i, t in enumerate(places))} END END
+        )
+        SELECT block * {WIDTH} + level AS depth, n1, n2, n1 ^ coalesce(last.x1, 0L) AS p1, n2 ^ coalesce(last.x2, 0L) AS p2, coalesce(last.bytes, 0L) AS bytes, {", ".join(sums)}
+        FROM keyed
+        """,
         blocks=blocks,
     )
-    # grouping_id has a bit for each column rolled up: 255 is the bare key, 0 all eight turns
-    level = F.lit(WIDTH) - F.bit_count(F.col("gid").cast("long"))
-    at = grouped.withColumn("level", level)
-    last = F.coalesce(*[F.when(F.col("level") == i + 1, F.col(f"t{i + 1}")) for i in range(WIDTH)])
-    at = at.withColumn("last", last).where(F.when(F.col("level") == 0, F.col("block") == 0).otherwise(F.col("last").isNotNull()))
-    place = lambda i: F.col("block") * WIDTH + i + 1
-
-    def key(seed: int, below: Column) -> Column:
-        out = F.col(f"k{seed}")
-        for i in range(WIDTH):
-            here = F.xxhash64(F.lit(seed), place(i), F.col(f"t{i + 1}.ta"), F.col(f"t{i + 1}.tb"))
-            out = out.bitwiseXOR(F.when(F.lit(i) < below, here).otherwise(F.lit(0).cast("long")))
-        return out
-
-    return at.select(
-        (F.col("block") * WIDTH + F.col("level")).alias("depth"),
-        key(1, F.col("level")).alias("n1"),
-        key(2, F.col("level")).alias("n2"),
-        key(1, F.col("level") - 1).alias("p1"),
-        key(2, F.col("level") - 1).alias("p2"),
-        F.coalesce("last.bytes", F.lit(0)).alias("bytes"),
-        *sums,
-    )
 
 
 def end_digests(ends: DataFrame) -> DataFrame:
