@@ -241,3 +241,34 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM o GROUP BY conv_id
 """
+
+
+@query
+def op13_rtree_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every 100th vector and each of its positives the best negatives of a near score."""
+    from .rtree import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_rtree_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         [CAST(floor(256 * x) AS BIGINT) FOR x IN CAST(embedding AS DOUBLE[])] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN CAST(embedding AS DOUBLE[]) IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id
+  WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE same
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+  WHERE p.rank <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
