@@ -211,7 +211,7 @@ def _searched(trees: DataFrame, asks: DataFrame, same: bool, k: int) -> DataFram
             v = np.array([r["v"] for r in rows], np.int64).reshape(len(rows), size)
             labels = np.array([r["label"] for r in rows])
             parts, low, high, a, b = zip(*bounds[size])
-            least, most = box_bounds(v, np.array(low, np.int64).reshape(-1, size), np.array(high, np.int64).reshape(-1, size))
+            least, most = box_bounds(v, np.array(low, np.int64).reshape(len(parts), size), np.array(high, np.int64).reshape(len(parts), size))
             a, b = np.array(a), np.array(b)
             if same:
                 open_ = (labels[:, None] >= a) & (labels[:, None] <= b)
