@@ -79,3 +79,28 @@ def test_trace_search_cap_and_flag(spark):
     first = sorted((r.event_index, r.match_start) for r in got if r.source_id == 1)
     assert first == [(0, 0), (0, 1), (1, 0)]
     assert {(r.source_id, r.truncated) for r in got} == {(1, True), (2, False)}
+
+
+def test_search_sees_param_lines_and_maps_offsets(spark):
+    """A match across line ends, in the row and below it; with and without a cap."""
+    key = "capture_id string, source_id bigint, event_index bigint"
+    shown = spark.createDataFrame([("c", 1, 3, "+REQUEST  [dt=5]"), ("c", 1, 7, " DONE"), ("c", 2, 4, "+REQUEST")], f"{key}, text string")
+    lines = spark.createDataFrame(
+        [("c", 1, 3, "url", 0, "url = x/REQUEST"), ("c", 1, 3, "headers", 1, "b: 2"), ("c", 1, 3, "headers", 0, "a: 1"), ("c", 1, 9, "url", 0, "REQUEST of a hidden event")],
+        f"{key}, key string, line_no int, line string",
+    )
+    text = {1: "+REQUEST  [dt=5]\na: 1\nb: 2\nurl = x/REQUEST\n DONE", 2: "+REQUEST"}
+    for cap, want in ((None, [(1, 3, 0, 1), (1, 3, 3, 8), (2, 4, 0, 1)]), (1, [(1, 3, 0, 1), (2, 4, 0, 1)])):
+        got = trace.trace_search(shown, "request", max_matches=cap, lines=lines, bucket_rows=2).collect()
+        assert sorted((r.source_id, r.event_index, r.line_no, r.line_start) for r in got) == want
+        assert all(text[r.source_id][r.text_start :][:7] == "REQUEST" for r in got)
+        assert {r.source_id: r.truncated for r in got} == {1: cap == 1, 2: False}
+    across = trace.trace_search(shown, r"1\nb: \d", use_regex=True, lines=lines).collect()
+    assert [(r.line_no, r.line_start, r.text_start) for r in across] == [(1, 3, text[1].index("1\nb"))]
+
+
+def test_a_clock_jump_is_past_the_grid(spark):
+    points = spark.createDataFrame([("c", "s", 0, 10.0, 5.0), ("c", "s", 1, 1e17, 7.0)], "capture_id string, series string, event_index bigint, time_ms double, value double")
+    windows = spark.createDataFrame([("c", 0.0)], "capture_id string, start_ms double")
+    got = timeline.sample_rate(points, windows, 5.0, 20, ["s"]).where("value <> 0").collect()
+    assert [(r.i, r.value) for r in got] == [(3, 1000.0)]

@@ -146,8 +146,11 @@ def _slotted(points: DataFrame, windows: DataFrame, step: float, n: int, bucket_
     slot = F.floor((F.col("arrival_ms") - F.col("start_ms")) / F.lit(step)) + 1
     return (
         arrived.join(windows.select("capture_id", "start_ms"), "capture_id")
-        .withColumn("i", F.greatest(slot, F.lit(0)).cast("int"))
-        .where(F.col("i") < n)
+        # a clock may jump past all numbers of instants, so only those wanted become integers
+        .withColumn("slot", F.greatest(slot, F.lit(0)))
+        .where(F.col("slot") < n)
+        .withColumn("i", F.col("slot").cast("int"))
+        .drop("slot")
     )
 
 

@@ -242,6 +242,21 @@ def find_matches(
     return df.select(*others, text).mapInArrow(search, schema)
 
 
+def shown_text(trace: DataFrame, lines: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """What a reader sees of each shown event: its row and below it the lines of its params
+    (:func:`.params.param_lines`, in that order), as one ``text`` with line feeds, and ``offset``,
+    the place at which it begins in the text of its source."""
+    key = [*SOURCE_KEY, "event_index"]
+    below = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("key", "line_no", "line"))).alias("below"))
+    rows = trace.select(*key, "text").join(below, key, "left")
+    listed = F.coalesce(F.transform("below", lambda r: r["line"]), F.array().cast("array<string>"))
+    blocks = rows.select(*key, F.array_join(F.concat(F.array("text"), listed), "\n").alias("text"))
+    # offsets need the lengths only
+    sizes = blocks.select(*key, (F.char_length("text") + 1).cast("bigint").alias("size"))
+    placed = running_sum(sizes, SOURCE_KEY, "event_index", F.col("size"), "upto", bucket_rows)
+    return blocks.join(placed.select(*key, (F.col("upto") - F.col("size")).alias("offset")), key)
+
+
 def trace_search(
     trace: DataFrame,
     query: str,
@@ -249,14 +264,28 @@ def trace_search(
     case_sensitive: bool = False,
     max_matches: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Matches in the trace text of each source: the first ``max_matches`` in trace
     order (all by default), and whether there were more (``truncated``).
 
+    With ``lines`` (:func:`.params.param_lines`) the lines below each event are searched as
+    well, also across line ends. A match then tells its ``line_no`` below the event (0 is the
+    event's own row), the ``line_start`` inside that line and ``text_start`` in the source's text.
     The matches are written once; what is ranked and counted starts from them.
     """
-    text = trace.select(*SOURCE_KEY, "event_index", "text")
-    found = find_matches(text, "text", query, case_sensitive, use_regex)
+    if lines is None:
+        found = find_matches(trace.select(*SOURCE_KEY, "event_index", "text"), "text", query, case_sensitive, use_regex)
+    else:
+        shown = shown_text(trace, lines, bucket_rows)
+        found = find_matches(shown.withColumn("shown", F.col("text")), "text", query, case_sensitive, use_regex)
+        before = F.split(F.substring("shown", F.lit(1), F.col("match_start")), "\n", -1)
+        found = found.select(
+            *SOURCE_KEY, "event_index", "match_no", "match_start", "match_end",
+            (F.size(before) - 1).alias("line_no"),
+            F.char_length(F.element_at(before, -1)).alias("line_start"),
+            (F.col("offset") + F.col("match_start")).alias("text_start"),
+        )
     if max_matches is None:
         return found.withColumn("truncated", F.lit(False))
     found = cut_lineage(found)

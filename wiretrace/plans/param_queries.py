@@ -113,31 +113,36 @@ def certificate_lines(spark, sf_dir):
 
 
 _QUOTED = "CASE WHEN key = 'line' THEN replace(shown, chr(13) || chr(10), '\\r\\n') ELSE shown END"
-
-
-@query(
-    "param_lines",
-    f"""{EV}, {enum_cte()}, long AS ({_LONG}), coded AS ({_CODED}), r AS (
+_FLAGS = f"""SELECT {_KEY}, 'load_flags' AS key, 'loadFlag' AS enum, load_flags AS bits FROM ev WHERE load_flags IS NOT NULL
+      UNION ALL SELECT {_KEY}, 'cert_status', 'certStatusFlag', cert_status FROM ev WHERE cert_status IS NOT NULL"""
+_FLAG_NAMES = """coalesce(
+      (SELECT string_agg(name, ' | ' ORDER BY name) FROM enum_rows e WHERE e.enum = flagged.enum AND (e.id & bits) <> 0),
+      CASE WHEN key = 'load_flags' THEN coalesce(
+        (SELECT min(name) FROM enum_rows e WHERE e.enum = flagged.enum AND e.id = bits), '?') ELSE '' END)"""
+# what a reader sees below each event
+PARAM_LINES = f"""{enum_cte()}, long AS ({_LONG}), coded AS ({_CODED}), flagged AS ({_FLAGS}), lined AS (
       SELECT {_KEY}, key, key || ' = "' || {_QUOTED} || '"' AS line, 0 AS line_no FROM long
         WHERE key IN ('url', 'method', 'line', 'host', 'address', 'key', 'file_name', 'new_filename')
+      UNION ALL SELECT {_KEY}, key, key || ' = ' || shown, 0 FROM long WHERE key IN ('byte_count', 'bytes_copied')
+      UNION ALL SELECT {_KEY}, key, key || ' = ' || bits || ' (' || {_FLAG_NAMES} || ')', 0 FROM flagged
       UNION ALL SELECT {_KEY}, key, key || ' = ' || code || ' (' ||
         coalesce((SELECT min(name) FROM enum_rows e WHERE e.enum = coded.enum AND e.id = code), '?') || ')', 0 FROM coded
       UNION ALL SELECT {_KEY}, 'source_dependency', 'source_dependency = ' || dep_id || ' (' ||
         CASE dep_id % 7 WHEN 1 THEN 'SOCKET' WHEN 2 THEN 'HOST_RESOLVER_IMPL_JOB' ELSE 'HTTP_STREAM_POOL_ATTEMPT_MANAGER' END || ')', 0
         FROM ev WHERE dep_id IS NOT NULL
       UNION ALL SELECT {_KEY}, 'headers', unnest(['Host: h' || k || '.example', 'Accept: */*']), unnest([0, 1]) FROM ev WHERE {_REQUEST}
+      UNION ALL SELECT {_KEY}, 'headers', unnest(['HTTP/1.1 ' || (200 + k) || ' OK', 'Content-Length: ' || k]), unnest([0, 1]) FROM ev WHERE {_RESPONSE}
+      UNION ALL SELECT {_KEY}, 'headers', 'X-Note: ' || k, 0 FROM ev WHERE has_params AND user_id % 7 = 0 AND event_type = 'click' AND k % 2 = 0
       UNION ALL SELECT {_KEY}, 'certificates', unnest(['-BEGIN-', 'c' || k, '-END-']), unnest([0, 1, 2]) FROM ev WHERE {_CERTS}
+      UNION ALL SELECT {_KEY}, 'ocsp_response', unnest(['ocsp ' || k, 'end']), unnest([0, 1]) FROM ev WHERE ocsp_response IS NOT NULL
       UNION ALL SELECT {_KEY}, 'stream_key', 'stream_key = {{"destination":"https://d' || k || '"}}', 0 FROM ev
-        WHERE has_params AND user_id % 7 = 6 AND event_type = 'signup')
-    SELECT * FROM r""",
-)
+        WHERE has_params AND user_id % 7 = 6 AND event_type = 'signup')"""
+
+
+@query("param_lines", f"{EV}, {PARAM_LINES} SELECT * FROM lined")
 def param_lines(spark, sf_dir):
     ev = _with_params(spark, sf_dir)
-    lines = p.param_lines(ev, st.enum_rows(ev))
-    # the plain numbers, flags and response headers have queries of their own
-    asked = ~F.col("key").isin("byte_count", "bytes_copied", "load_flags", "cert_status", "ocsp_response")
-    answer = (F.col("key") == "headers") & F.col("line").rlike("^(HTTP/|Content-Length|X-Note)")
-    return lines.where(asked & ~answer)
+    return p.param_lines(ev, st.enum_rows(ev))
 
 
 @query(

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import grouping as g
 from ..operators import trace as tr
 from ..sources import sample_tables as st
+from ..operators import params as pr
 from .base import SRC, events, query
+from .param_queries import PARAM_LINES
 
 # steps: the open BEGINs of each source as a list, one event per recursion step
 PAIRS = (
@@ -81,15 +83,17 @@ def match_begin_end_chunked(spark, sf_dir):
 _CLOCK = "CASE WHEN dt = floor(dt) THEN CAST(CAST(dt AS BIGINT) AS VARCHAR) ELSE CAST(dt AS VARCHAR) END"
 
 
+_TEXT = f"""marker || type_name || CASE WHEN dt IS NULL THEN '' ELSE '  [dt=' || {_CLOCK} || CASE WHEN is_open THEN '+' ELSE '' END || ']' END"""
+
+
 @query(
     "event_trace",
     f"""{PAIRS} SELECT capture_id, source_id, event_index, round(t, 3) AS t, round(st, 3) AS st, depth, marker,
-    round(dt, 3) AS dt, is_open, split_part(marker || type_name || '  [dt=', '  [dt=', 1) AS head FROM traced""",
+    round(dt, 3) AS dt, is_open, {_TEXT} AS text FROM traced""",
 )
 def event_trace(spark, sf_dir):
     rounded = [F.round(c, 3).alias(c) for c in ("t", "st", "dt")]
-    head = F.substring_index("text", "  [dt=", 1).alias("head")
-    return _trace(spark, sf_dir).select("capture_id", "source_id", "event_index", "depth", "marker", "is_open", head, *rounded)
+    return _trace(spark, sf_dir).select("capture_id", "source_id", "event_index", "depth", "marker", "is_open", "text", *rounded)
 
 
 @query(
@@ -133,6 +137,26 @@ def trace_search(spark, sf_dir):
     return tr.trace_search(_trace(spark, sf_dir), "url_request", max_matches=2)
 
 
+@query(
+    "trace_search_lines",
+    f"""{PAIRS}, {PARAM_LINES}, below AS (
+      SELECT capture_id, source_id, event_index, chr(10) || string_agg(line, chr(10) ORDER BY key, line_no) AS b FROM lined GROUP BY ALL),
+    block AS (SELECT capture_id, source_id, event_index, {_TEXT} || coalesce(b, '') AS text
+      FROM traced LEFT JOIN below USING (capture_id, source_id, event_index)),
+    placed AS (SELECT *, string_split(lower(text), 'example') AS p,
+      sum(length(text) + 1) OVER (PARTITION BY capture_id, source_id ORDER BY event_index) - length(text) - 1 AS before FROM block),
+    hits AS (SELECT *, unnest(range(1, len(p))) AS j FROM placed),
+    spots AS (SELECT *, CAST(list_sum(list_transform(p[1:j], lambda x: length(x))) + (j - 1) * 7 AS INTEGER) AS match_start FROM hits)
+    SELECT capture_id, source_id, event_index, CAST(j - 1 AS INTEGER) AS match_no, match_start, match_start + 7 AS match_end,
+      CAST(len(string_split(text[1:match_start], chr(10))) - 1 AS INTEGER) AS line_no,
+      CAST(length(string_split(text[1:match_start], chr(10))[-1]) AS INTEGER) AS line_start,
+      CAST(before + match_start AS BIGINT) AS text_start, false AS truncated FROM spots""",
+)
+def trace_search_lines(spark, sf_dir):
+    ev = events(spark, sf_dir, with_params=True)
+    return tr.trace_search(_trace(spark, sf_dir), "Example", lines=pr.param_lines(ev, st.enum_rows(ev)))
+
+
 @query(
     "find_matches",
     """WITH parts AS (SELECT doc_id, string_split(text, 'the') AS p FROM documents),
