@@ -86,6 +86,45 @@ def test_empty_and_blocks(spark, monkeypatch):
     assert run(spark, items, items) == brute(items, items)
 
 
+def boilerplate(seed, n_items=120):
+    """Items that share long boilerplate; documents with other boilerplate round an item's own words."""
+    rng = random.Random(seed)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    frames = [text(200) for _ in range(2)]
+    own = [text(80) for _ in range(n_items)]
+    items = [(i, " ".join(frames[i % 2] + o)) for i, o in enumerate(own)]
+    rows = [(i, " ".join(frames[1 - i % 2] + o)) for i, o in enumerate(own)]
+    rows += [(1000 + i, " ".join(frames[i % 2] + o[:35] + text(1) + o[36:])) for i, o in enumerate(own)]
+    return rows, items
+
+
+def test_recall_with_shared_boilerplate(spark):
+    """Weight, not words, decides what is near: of all matches by brute force none is lost."""
+    rows, items = boilerplate(8)
+    want = brute(rows, items)
+    assert len(want) == 240 and run(spark, rows, items) == want
+
+
+def test_number_of_indexes_changes_nothing(spark, monkeypatch):
+    rows, items = boilerplate(9, 12)
+    want = run(spark, rows, items)
+    monkeypatch.setattr(W, "INDEX_BYTES", 4000)
+    assert len(W.benchmark_indexes(spark.createDataFrame(items, "item_id long, text string"))) > 3
+    assert run(spark, rows, items) == want == brute(rows, items)
+
+
+def test_executors_need_no_package(spark):
+    """What is broadcast unpickles where this package cannot be imported."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    data = cloudpickle.dumps(W.Index.build([1], ["a b c d e f g"]))
+    code = "import pickle, sys; i = pickle.loads(sys.stdin.buffer.read()); assert i.ids == [1] and 'wiretrace' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], input=data, cwd="/", check=True, env={"PATH": "/usr/bin"})
+
+
 def test_sample_passages(spark):
     folder = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")

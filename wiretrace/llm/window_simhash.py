@@ -1,14 +1,17 @@
 """Benchmark decontamination by SimHash over windows of an item's size.
 
 A benchmark item of n words is looked for in the windows of n words of every text. Window and
-item have a SimHash of their 5-word shingles; windows whose fingerprint is within ``RADIUS`` bits
-of an item's are found through a multi-index: the 64 bits are cut into ``PARTS`` parts, and of
+item have a SimHash of their 5-word shingles, in which a shingle of weight w votes with the root
+of w, so that the cosine of two votes is the share of weight in common: at the least similarity,
+0.8, some ten of 64 bits differ, with a standard deviation of three, whatever the weights. Windows
+whose fingerprint is within ``RADIUS`` bits of an item's are found through a multi-index: the 64 bits are cut into ``PARTS`` parts, and of
 fingerprints within the radius at least one part differs in at most RADIUS // PARTS bits, so the
 lists of a part's values within that many bits hold every item in reach. What is found is decided
 by the exact similarity of the shingles' weights.
 
-The weight of a shingle is one over the number of items that hold it (one, if none does), and the
-similarity of window and item is the sum of the smaller over the sum of the larger weights times
+The weight of a shingle is one over the number of items of the whole benchmark that hold it (one,
+if none does), however many indexes the items make; so each index also has the weights of all
+shingles that two or more items share, 16 bytes each. The similarity of window and item is the sum of the smaller over the sum of the larger weights times
 counts. A window that could not reach the threshold with all its shingles from the
 items of its size counting in full is not hashed; that leaves the result as it is.
 
@@ -17,23 +20,27 @@ Words are of letters and digits, A-Z lower-cased.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
-from .segment_counts import majority_bits
+from .common import id_text, worker_cache
 from .words import NOT_ALNUM, U, Words, grams, mix, pieces, spans_hash
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
 PARTS = 5
+#: shingles of windows hashed at a time
+VOTES = 1 << 16
 #: bytes of item texts that one index may hold; more items make more indexes, one after another
 INDEX_BYTES = 64 << 20
 
@@ -56,6 +63,24 @@ def _shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def voted(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """SimHash of each row of shingle hashes: each votes with the root of its weight. Further
+    occurrences of a shingle in a row are voters of their own."""
+    order = rows.argsort(1, kind="stable")
+    ranked = np.take_along_axis(rows, order, 1)
+    if ranked.shape[1] > 1 and (ranked[:, 1:] == ranked[:, :-1]).any():
+        place = np.broadcast_to(np.arange(rows.shape[1]), rows.shape)
+        begins = np.concatenate((np.ones((len(rows), 1), bool), ranked[:, 1:] != ranked[:, :-1]), axis=1)
+        nth = place - np.maximum.accumulate(np.where(begins, place, 0), axis=1)
+        again = np.zeros(rows.shape, U)
+        np.put_along_axis(again, order, nth.astype(U), 1)
+        rows = np.where(again > 0, mix(rows + again * U(0x9E3779B97F4A7C15)), rows)
+    bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8).reshape(*rows.shape, 8), axis=2, bitorder="little")
+    sums = np.einsum("rlb,rl->rb", bits, np.sqrt(weights).astype(np.float32), dtype=np.float32)
+    half = np.sqrt(weights).sum(1, keepdims=True) / 2
+    return np.packbits(sums > half, axis=1, bitorder="little").view(U).reshape(-1)
+
+
 @dataclass
 class Index:
     """Items of one index, ordered by size."""
@@ -64,7 +89,9 @@ class Index:
     sizes: np.ndarray
     prints: np.ndarray
     shingles: list[Counter]
-    weight: dict[int, float]  # weight of each shingle of the benchmark
+    weight: dict[int, float]  # weights, of its items' shingles and of all that items share
+    common: np.ndarray  # shingles with a weight below one, sorted
+    common_weight: np.ndarray
     known: np.ndarray  # the shingles, sorted
     known_weight: np.ndarray
     size_first: np.ndarray  # for each known shingle where its run of item_sizes begins
@@ -72,16 +99,28 @@ class Index:
     lists: list[list[np.ndarray]]  # of each part, for each value, items within reach
 
     @staticmethod
-    def build(ids: list, texts: list[str]) -> Index:
+    def build(ids: list, texts: list[str], held: dict[int, int] | None = None) -> Index:
+        """``held``: how many items of the benchmark hold a shingle, for those that several do;
+        counted over these items if not given."""
         with np.errstate(over="ignore"):
             w = Words(pa.array(texts, pa.string()), lower=True, breaks=NOT_ALNUM)
             hashes, first = _shingles(w)
-            prints = majority_bits(hashes, first)
         sizes = np.diff(w.first)
         shingles = [Counter(hashes[a:b].tolist()) for a, b in zip(first, first[1:])]
-        held = Counter(h for c in shingles for h in c)
+        if held is None:
+            held = {h: n for h, n in Counter(h for c in shingles for h in c).items() if n > 1}
         weight = {h: 1 / n for h, n in held.items()}
-        known = np.array(sorted(weight), U)
+        common = np.array(sorted(weight), U)
+        common_weight = np.array([weight[int(h)] for h in common])
+        own = {h for c in shingles for h in c}
+        weight |= {h: 1.0 for h in own if h not in weight}
+        known = np.array(sorted(own), U)
+        prints = np.zeros(len(ids), U)
+        with np.errstate(over="ignore"):
+            for k, (a, b) in enumerate(zip(first, first[1:])):
+                if a < b:
+                    row = hashes[None, a:b]
+                    prints[k] = voted(row, np.array([[weight[int(h)] for h in row[0]]]))[0]
         of: dict[int, set[int]] = {}
         for n, c in zip(sizes.tolist(), shingles):
             for h in c:
@@ -101,7 +140,13 @@ class Index:
                 near = distinct[np.bitwise_count(distinct ^ v) <= RADIUS // PARTS]
                 found.append(np.concatenate([groups[int(x)] for x in near]) if len(near) else np.zeros(0, np.int64))
             lists.append(found)
-        return Index(ids, sizes, prints, shingles, weight, known, np.array([weight[int(k)] for k in known]), size_first, item_sizes, lists)
+        return Index(ids, sizes, prints, shingles, weight, common, common_weight, known, np.array([weight[int(k)] for k in known]), size_first, item_sizes, lists)
+
+    def weights(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return np.ones(hashes.shape)
+        at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
+        return np.where(self.common[at] == hashes, self.common_weight[at], 1.0)
 
     def near(self, fp: np.uint64) -> np.ndarray:
         """Items within RADIUS bits of a fingerprint."""
@@ -150,15 +195,19 @@ def _leaks(column: pa.Array, index: Index, threshold: float) -> list[tuple[int,
         if gain[a:b].sum() < least[n] - 1e-9 or words < n or (n < SHINGLE and words != n):
             continue
         own = hashes[first[d] : first[d + 1]]
+        votes = index.weights(own)
         length = max(1, n - SHINGLE + 1)
+        at_once = max(1, VOTES // length)
         total = np.zeros(len(own) + 1)
         total[place[a:b] - first[d] + 1] = gain[a:b]
         total = np.cumsum(total)
         starts = np.flatnonzero(total[length:] - total[:-length] >= least[n] - 1e-9)
-        for i in range(0, len(starts), 1024):
-            some = starts[i : i + 1024]
-            rows = own[some[:, None] + np.arange(length)[None, :]]
-            prints = majority_bits(rows.ravel(), np.arange(len(some) + 1) * length)
+        for i in range(0, len(starts), at_once):
+            some = starts[i : i + at_once]
+            places = some[:, None] + np.arange(length)[None, :]
+            rows = own[places]
+            with np.errstate(over="ignore"):
+                prints = voted(rows, votes[places])
             for s, fp, row in zip(some, prints, rows):
                 items = [int(k) for k in index.near(fp) if index.sizes[k] == n]
                 if items:
@@ -170,21 +219,45 @@ def _leaks(column: pa.Array, index: Index, threshold: float) -> list[tuple[int,
     return [(d, i, s, n, v) for (d, i), (v, s, n) in best.items()]
 
 
+def _shared_shingles(items: DataFrame) -> dict[int, int]:
+    """Hash of each shingle that several items hold, and how many do."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, 0):
+            with np.errstate(over="ignore"):
+                hashes, first = _shingles(Words(part.column(0), lower=True, breaks=NOT_ALNUM))
+            rows = [np.unique(hashes[a:b]) for a, b in zip(first, first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64))], names=["h"])
+
+    counts = items.select("text").mapInArrow(hashed, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return {int(np.int64(r["h"]).view(U)): r["n"] for r in counts.collect()}
+
+
 def benchmark_indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[Index]:
     """Indexes of at most about ``INDEX_BYTES`` of item texts each. Items without words are left
     out; items repeated in id and text count once."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = -(-size // INDEX_BYTES)
+    held = _shared_shingles(items) if groups > 1 else None
     out = []
     for g in range(groups):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).orderBy("item_id", "text").collect()
         with_words = [r for r in rows if len(Words(pa.array([r["text"]]), breaks=NOT_ALNUM))]
         if with_words:
-            out.append(Index.build([r["item_id"] for r in with_words], [r["text"] for r in with_words]))
+            out.append(Index.build([r["item_id"] for r in with_words], [r["text"] for r in with_words], held))
     return out
 
 
+def _loaded(name: str, data: bytes) -> Index:
+    """The index, unpacked once in a worker; the one before it is let go."""
+    kept = worker_cache("window_index", dict)
+    if name not in kept:
+        kept.clear()
+        kept[name] = pickle.loads(data)
+    return kept[name]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, digest: bool = False) -> DataFrame:
     """doc_id, item_id, start (word), n_words, similarity: for every document and item the window
     of the item's size that is most alike (the earliest of equals), if it is at least
@@ -201,10 +274,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMIL
     if digest:
         docs, schema = docs.withColumn("digest", F.md5("text")), schema + ", digest string"
     for index in benchmark_indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+        # by value: executors need no copy of this package
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(index))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = _loaded(name, shared.value)
             for part in pieces(batches, 1):
                 hits = sorted(_leaks(part.column(1), index, threshold))
                 rows = pa.array([h[0] for h in hits], pa.int64())
