@@ -137,3 +137,21 @@ def test_state_tables_need_their_snapshot(spark):
     assert polled.socket_pools(df).count() == 0
     assert polled.reporting_reports(df, scalars).count() == 0
     assert polled.extensions(df).count() == 0
+
+
+def test_parts_of_shards_equal_one_pass(spark, tmp_path):
+    """1, 2, 3 and 7 shards, stored as they come and one of them twice, give the rows of one pass."""
+    from wiretrace.sources.captures import read_parts, write_parts
+
+    sf = "/root/testdata/sf0.001"
+    ev = st.network_events(spark, sf).drop("params").where("source_id < 60").cache()
+    enums = st.enum_rows(ev)
+    want = sorted(map(str, grouping.group_sources(ev, enums).collect()))
+    for n in (1, 2, 3, 7):
+        folder = str(tmp_path / str(n))
+        for k in reversed(range(n)):
+            write_parts(ev.where(F.col("event_index") % n == k), folder, f"batch={k}")
+        write_parts(ev.where(F.col("event_index") % n == 0), folder, "batch=0")
+        got = grouping.sources_of_parts(read_parts(spark, folder), enums)
+        assert sorted(map(str, got.collect())) == want
+    ev.unpersist()

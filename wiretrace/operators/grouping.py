@@ -21,8 +21,13 @@ def param_number(events: DataFrame, name: str) -> Column:
     return js.as_number(js.field(F.col("params"), name))
 
 
-def _per_type(events: DataFrame) -> DataFrame:
-    """One row per source, source type and event type.
+_PART_KEY = (*SOURCE_KEY, "source_type", "source_type_name", "type", "type_name")
+
+
+def source_parts(events: DataFrame) -> DataFrame:
+    """What is known of each source from some of its events: one row per source, source type and
+    event type. Parts of other events are added by :func:`merge_parts`, in any order and grouping,
+    so parts can be stored beside the events and new files need no look at old ones.
 
     Every aggregate has a fixed-width buffer, so this is a hash aggregation with a
     map-side combine: a source holding a third of all events shrinks to one row per
@@ -31,7 +36,7 @@ def _per_type(events: DataFrame) -> DataFrame:
     code = param_number(events, "net_error").try_cast("bigint")
     failing = F.when(param_number(events, "net_error") != 0.0, code)
     ticks, index = F.col("time_ticks"), F.col("event_index")
-    return events.groupBy(*SOURCE_KEY, "source_type", "source_type_name", "type", "type_name").agg(
+    return events.groupBy(*_PART_KEY).agg(
         F.count("*").alias("n"),
         F.min(index).alias("first_idx"),
         F.max(index).alias("last_idx"),
@@ -44,6 +49,22 @@ def _per_type(events: DataFrame) -> DataFrame:
     )
 
 
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """Parts of different events of the same sources as one; the inverse of splitting the events."""
+    first, last = "first_idx", "last_idx"
+    return parts.groupBy(*_PART_KEY).agg(
+        F.sum("n").alias("n"),
+        F.min(first).alias(first),
+        F.max(last).alias(last),
+        F.max("last_end_idx").alias("last_end_idx"),
+        F.min_by("first_begins", first).alias("first_begins"),
+        F.min_by("first_ticks", first).alias("first_ticks"),
+        F.max_by("last_ticks", last).alias("last_ticks"),
+        F.min("min_code").alias("min_code"),
+        F.max("max_code").alias("max_code"),
+    )
+
+
 def last_event_ticks(events: DataFrame) -> DataFrame:
     """Ticks of each capture's last event in file order."""
     return events.groupBy("capture_id").agg(F.max_by("time_ticks", "event_index").alias("last_event_ticks"))
@@ -56,7 +77,11 @@ def group_sources(events: DataFrame, enums: DataFrame | None = None) -> DataFram
     ``enums`` supplies each capture's own code for the exempt cache-miss error;
     without it no error is exempt. The events are read once, when this is called.
     """
-    parts = _per_type(events)
+    return sources_of_parts(source_parts(events), enums)
+
+
+def sources_of_parts(parts: DataFrame, enums: DataFrame | None = None) -> DataFrame:
+    """:func:`group_sources` from merged parts alone."""
     if enums is None:
         parts = parts.withColumn("miss", F.lit(None).cast("bigint"))
     else:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
 
 from ..operators import grouping as g
+from ..session import checkpoint_dir
+from ..sources import captures as cap
 from ..sources import sample_tables as st
 from .base import EV, SRC, SRC_COLUMNS, events, query
 
@@ -14,6 +19,16 @@ def group_sources(spark, sf_dir):
     return g.group_sources(ev, st.enum_rows(ev))
 
 
+@query("group_sources_stored_parts", f"{SRC} SELECT {SRC_COLUMNS} FROM src")
+def group_sources_stored_parts(spark, sf_dir):
+    """Each third of the events adds its own parts; the sources come from these alone."""
+    ev = events(spark, sf_dir)
+    folder = f"{checkpoint_dir(spark)}/parts-{uuid.uuid4().hex}"
+    for k in range(3):
+        cap.write_parts(ev.where(F.col("event_index") % 3 == k), folder, f"batch={k}")
+    return g.sources_of_parts(cap.read_parts(spark, folder), st.enum_rows(ev))
+
+
 @query("source_is_active", f"{SRC} SELECT capture_id, source_id, is_active FROM src")
 def source_is_active(spark, sf_dir):
     return g.source_is_active(events(spark, sf_dir))
