@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import grouping as g
+from ..operators import pyramid as py
 from ..operators import timeline as t
+from ..session import checkpoint_dir
 from .base import EV, SRC, events, query
 
 STEP, N = 900_000.0, 96  # a day in quarter hours
@@ -184,6 +188,52 @@ def values_at(spark, sf_dir):
     return _rounded(t.values_at(ev, noon, 3600000.0))
 
 
+CELL = 1000.0
+# every hour of a capture, from its first whole second
+_HOURS = f"""hours AS (SELECT capture_id, floor(arg_min(time_ms, event_index) / {CELL}) * {CELL} + h * 3600000.0 AS start_ms
+  FROM ev, range(24) r(h) GROUP BY capture_id, h),
+  pts AS (SELECT capture_id, series, event_index, time_ms, value FROM counts
+    UNION ALL SELECT capture_id, series, event_index, time_ms, value FROM bytes),
+  asked AS (SELECT h.*, s.series FROM hours h JOIN (SELECT DISTINCT capture_id, series FROM pts) s USING (capture_id))"""
+
+
+def _pyramid(spark, sf_dir):
+    """The summaries of all series as a stored table, and the hours asked for."""
+    ev = events(spark, sf_dir)
+    points = t.count_points(ev).drop("arrival_ms").unionByName(t.byte_points(ev))
+    folder = f"{checkpoint_dir(spark)}/pyramid-{uuid.uuid4().hex}"
+    py.series_pyramid(points, CELL).write.parquet(folder)
+    first = F.floor(F.col("start_ms") / CELL) * CELL
+    hours = _windows(ev).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    return spark.read.parquet(folder), hours.select("capture_id", (first + F.col("h") * 3600000.0).alias("start_ms"))
+
+
+@query(
+    "series_ranges_stored",
+    f"""{EV}, {_counts_cte()}, {_BYTES}, {_HOURS}
+    SELECT a.capture_id, a.series, a.start_ms, round(max(p.value), 6) AS peak, round(coalesce(sum(p.value), 0), 6) AS total, count(p.value) AS n
+    FROM asked a LEFT JOIN pts p ON p.capture_id = a.capture_id AND p.series = a.series
+      AND p.time_ms >= a.start_ms AND p.time_ms < a.start_ms + 3600000 GROUP BY ALL""",
+)
+def series_ranges_stored(spark, sf_dir):
+    pyramid, hours = _pyramid(spark, sf_dir)
+    got = py.range_summaries(pyramid, hours.withColumn("end_ms", F.col("start_ms") + 3600000.0), CELL)
+    return got.drop("end_ms").withColumns({c: F.round(c, 6) for c in ("peak", "total")})
+
+
+@query(
+    "values_before_stored",
+    f"""{EV}, {_counts_cte()}, {_BYTES}, {_HOURS}
+    SELECT a.capture_id, a.series, a.start_ms AS at_ms, coalesce(p.value, 0) AS value
+    FROM asked a ASOF LEFT JOIN pts p ON p.capture_id = a.capture_id AND p.series = a.series AND p.time_ms < a.start_ms
+    WHERE a.series IN ('{"', '".join(_SERIES_WHERE)}')""",
+)
+def values_before_stored(spark, sf_dir):
+    pyramid, hours = _pyramid(spark, sf_dir)
+    got = py.values_before(pyramid, hours.withColumnRenamed("start_ms", "at_ms"), CELL)
+    return got.where(F.col("series").isin(*t.COUNT_SERIES))
+
+
 _ACTIVE_AT = f"""{SRC}, instants AS (SELECT capture_id, arg_min(time_ms, event_index) + h * 3600000.0 AS at_ms
       FROM ev, range(24) r(h) GROUP BY capture_id, h)
     SELECT i.capture_id, at_ms, source_id FROM instants i JOIN src ON src.capture_id = i.capture_id
