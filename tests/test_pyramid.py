@@ -39,3 +39,16 @@ def test_any_range_and_instant(spark):
     asked = [(c, a) for c in "cd" for a in ends]
     got = {(r.capture_id, r.series, r.at_ms): r.value for r in pyramid.values_before(table, spark.createDataFrame(asked, "capture_id string, at_ms double"), cell).collect()}
     assert got == {(c, s, a): ([v for k, z, _, at, v in arrivals if (k, z) == (c, s) and at < a] or [0.0])[-1] for c, a in asked for s in series[c]}
+
+
+def test_alive_at_with_all_lifetimes_in_one_block(spark):
+    from wiretrace.operators import timeline
+
+    rows = [("c", i, 64.0, 127.0) for i in range(300)] + [("c", 1000, -5.0, 1e12), ("c", 1001, 3.0, 3.0), ("d", 1, 0.0, 9.0), ("d", 2, 9.0, 4.0)]
+    asked = [(c, t) for c in "cd" for t in (-6.0, -5.0, 3.0, 63.9, 64.0, 100.0, 127.0, 127.5, 1e12)]
+    got = timeline.sources_active_at(
+        spark.createDataFrame(rows, "capture_id string, source_id bigint, start_ms double, end_ms double"), spark.createDataFrame(asked, "capture_id string, at_ms double"), hot_rows=16
+    )
+    want = {(c, t, i) for c, t in asked for k, i, a, b in rows if k == c and a <= t <= b}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want

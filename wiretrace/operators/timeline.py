@@ -229,11 +229,11 @@ def values_at(events: DataFrame, instants: DataFrame, step: float = DEFAULT_STEP
 
 # --- which sources were alive at an instant ---------------------------------------
 
-# blocks of 2^0 to 2^62 cells: no lifetime in a BIGINT of cells is longer
-_LEVELS = 63
+# lifetimes that one task should hold of a block; more are dealt to several
+HOT_BLOCK_ROWS = 100_000
 
 
-def sources_active_at(sources: DataFrame, instants: DataFrame, cell_ms: float = 1.0) -> DataFrame:
+def sources_active_at(sources: DataFrame, instants: DataFrame, cell_ms: float = 1.0, hot_rows: int = HOT_BLOCK_ROWS) -> DataFrame:
     """Pairs of an instant (``capture_id, at_ms``) and a source alive then, ends inclusive.
 
     ``sources`` has wall times ``start_ms`` and ``end_ms``. Lifetimes are split into
@@ -241,32 +241,27 @@ def sources_active_at(sources: DataFrame, instants: DataFrame, cell_ms: float =
     are, and an instant lies in one block of each size. The join on blocks thus
     meets only pairs that overlap, up to the rounding of a cell at either end, which
     the last filter checks.
+
+    There are as many sizes as the longest lifetime needs. A block with more than ``hot_rows``
+    lifetimes is split into parts of about that many, and its instants go to all parts. The
+    longest lifetime and the sizes of blocks are looked up when this is called.
     """
-    level = F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1)))
     first, past = F.floor(F.col("start_ms") / cell_ms), F.floor(F.col("end_ms") / cell_ms) + 1
+    lives = sources.where("end_ms >= start_ms").select("capture_id", "source_id", "start_ms", "end_ms", first.alias("first"), past.alias("past"))
+    lives = cut_lineage(lives)
+    longest = lives.agg(F.max(F.col("past") - F.col("first")).alias("n")).first()["n"] or 1
+    levels = f"sequence(0, {int(longest).bit_length() - 1})"
     # whole-number shifts: a double would round long counts of cells
-    lo, hi = F.expr("-shiftright(-first, level)"), F.expr("shiftright(past, level)")
-    open_ = F.col("lo") < F.col("hi")
-    odd_lo = F.when(open_ & (F.pmod("lo", F.lit(2)) == 1), F.col("lo"))
-    odd_hi = F.when(open_ & (F.pmod("hi", F.lit(2)) == 1), F.col("hi") - 1)
-    blocks = (
-        sources.where("end_ms >= start_ms")
-        .select("capture_id", "source_id", "start_ms", "end_ms", first.alias("first"), past.alias("past"))
-        .withColumn("level", level)
-        .withColumn("lo", lo)
-        .withColumn("hi", hi)
-        .where("lo < hi")
-        .withColumn("block", F.explode(F.array_compact(F.array(odd_lo, odd_hi))))
-        .select("capture_id", "source_id", "start_ms", "end_ms", "level", "block")
-    )
-    points = (
-        instants.select("capture_id", "at_ms")
-        .withColumn("level", level)
-        .withColumn("cell", F.floor(F.col("at_ms") / cell_ms))
-        .withColumn("block", F.expr("shiftright(cell, level)"))
-    )
-    return (
-        blocks.join(points, ["capture_id", "level", "block"])
-        .where("start_ms <= at_ms and at_ms <= end_ms")
-        .select("capture_id", "at_ms", "source_id")
-    )
+    ends = f"transform({levels}, v -> struct(v AS level, -shiftright(-first, v) AS lo, shiftright(past, v) AS hi))"
+    odd = "filter(array(CASE WHEN pmod(e.lo, 2) = 1 THEN e.lo END, CASE WHEN pmod(e.hi, 2) = 1 THEN e.hi - 1 END), b -> b IS NOT NULL)"
+    made = f"flatten(transform(filter({ends}, e -> e.lo < e.hi), e -> transform({odd}, b -> struct(e.level AS level, b AS block))))"
+    blocks = lives.select("capture_id", "source_id", "start_ms", "end_ms", F.expr(f"inline({made})"))
+    key = ["capture_id", "level", "block"]
+    # each such block has more than hot_rows rows, so they are few
+    hot = cut_lineage(blocks.groupBy(*key).agg(F.ceil(F.count("*") / hot_rows).alias("parts")).where("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = blocks.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64("source_id", "start_ms", "end_ms"), parts)).drop("parts")
+    points = instants.select("capture_id", "at_ms", F.floor(F.col("at_ms") / cell_ms).alias("cell"))
+    points = points.select("capture_id", "at_ms", F.expr(f"inline(transform({levels}, v -> struct(v AS level, shiftright(cell, v) AS block)))"))
+    points = points.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1))).drop("parts")
+    return dealt.join(points, [*key, "part"]).where("start_ms <= at_ms and at_ms <= end_ms").select("capture_id", "at_ms", "source_id")
