@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,9 @@ BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 20
 RANGES = 1024
 CACHED_WORDS = 400_000
-CACHED_BYTES = 64
+CACHED_CHARS = 64
+#: new words the library sees in one text
+GROUP = 64
 
 
 def id_width(vocabulary: int) -> int:
@@ -114,6 +117,7 @@ class WordEncoder:
 
     Exact for tokenizers whose rules never join what ASCII white space separates (the caller's
     choice of file): the text is split there, and the library sees every word that is not kept.
+    It sees new words in groups, with a special token between them, at which it cuts its input.
     """
 
     def __init__(self, spec: str, kind: str):
@@ -121,24 +125,53 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.kept = Tokenizer.from_str(spec), kind, TwoGenerations(CACHED_WORDS)
-
-    def encode(self, texts: list) -> list[bytes]:
-        """Little-endian ids of each text; None counts as empty."""
-        split = [t.encode().split() if t else [] for t in texts]
-        seen: set = set()
-        for words in split:
-            seen.update(words)
-        new = self.kept.missing(seen)
+        marks = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.single_word]
+        self.mark, self.mark_text = marks[0] if marks else (-1, "")
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(c.ids, self.kind).tobytes() for c in coded]
+
+    def _library(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word; a group in which other words hold the special token is done word by word."""
+        if not self.mark_text:
+            yield from self._alone(words)
+            return
+        groups = [words[i : i + GROUP] for i in range(0, len(words), GROUP)]
+        coded = self.tokenizer.encode_batch_fast([self.mark_text.join(g) for g in groups], add_special_tokens=False)
+        for group, code in zip(groups, coded):
+            ids = np.array(code.ids, np.int64)
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(group) - 1:
+                yield from self._alone(group)
+                continue
+            raw = ids.astype(self.kind).tobytes()
+            size = len(raw) // max(len(ids), 1)
+            at = 0
+            for end in (*cuts.tolist(), len(ids)):
+                yield raw[at * size : end * size]
+                at = end + 1
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian ids of each text of a string column; null counts as empty."""
+        words = pa.compute.ascii_split_whitespace(texts.fill_null(""))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = self.kept.missing(distinct)
         young = self.kept.young
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            young.update(zip(part, (np.array(c.ids, self.kind).tobytes() for c in coded)))
-        out = [b"".join(map(young.__getitem__, words)) for words in split]
+            young.update(zip(part, self._library(part)))
+        per_word = pa.array(map(young.__getitem__, distinct), pa.large_binary()).take(coded.indices)
         for w in new:
-            if len(w) > CACHED_BYTES:
+            if len(w) > CACHED_CHARS:
                 del young[w]
-        return out
+        if not len(per_word):
+            return [b""] * len(texts)
+        at = np.frombuffer(per_word.buffers()[1], np.int64)[per_word.offset :]
+        raw = memoryview(per_word.buffers()[2] or b"")
+        rows = at[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        return [bytes(raw[a:b]) for a, b in zip(rows, rows[1:])]
 
 
 def _edges(docs: DataFrame) -> np.ndarray:
@@ -171,7 +204,7 @@ def write_packed_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: in
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 key = part.column(0)
-                ids = [x + end for x in coder.encode(part.column(1).to_pylist())]
+                ids = [x + end for x in coder.encode(part.column(1))]
                 place = np.searchsorted(edges, key.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(place, pa.int32()), key, pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
