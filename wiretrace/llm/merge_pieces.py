@@ -11,6 +11,7 @@ merge crosses a chunk border, and a chunk seen before need not be encoded again.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import zlib
@@ -19,15 +20,19 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from operator import concat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 
 from .common import TwoGenerations, id_text, release, worker_cache
 
 MARK = "▁"
 #: chunks kept twice over (see TwoGenerations), at about 150 bytes each in every Python worker
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS = 400_000
 CACHED_CHARS = 48
+#: new chunks the library sees in one text
+GROUP = 64
 #: rows taken from an Arrow batch at a time
 ROWS = 256
 
@@ -107,28 +112,77 @@ class MergeCoder:
             return [c[1:] if c[1:2] not in (MARK, "") else c for c in found]
         return marked.split(MARK)
 
-    def encode(self, texts: list) -> list[list[int]]:
-        """The ids of each text."""
-        split = [self.chunks(t or "") for t in texts]
-        seen: set = set()
-        for chunks in split:
-            seen.update(chunks)
+    def compare(self, chunks: list[str], ids: dict[str, bytes]) -> None:
+        """Raise ValueError unless the library encodes every chunk as ``ids`` has it.
+
+        Chunks without marks go as words of one text, ``GROUP`` at a time. The library puts a mark
+        before each text itself; a mark alone would be no text to it. One text a call: calls with a
+        list start threads of the library's own.
+        """
+        encode = self.lib.encode
+        plain = [c for c in chunks if MARK not in c]
+        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)]
+        groups += [[c] for c in chunks if MARK in c and c != MARK]
+        for group in groups:
+            text = " ".join(group)
+            got = array("I", encode(text[1:] if text[0] == MARK else text)).tobytes()
+            if got != b"".join(map(ids.__getitem__, group)):
+                raise ValueError(f"the library encodes some of {[c[:80] for c in group]!r} in another way")
+
+    def coded(self, column: pa.Array) -> pa.ListArray:
+        """The ids of each text of a string column (null: none)."""
+        text = column.fill_null("")
+        pc = pa.compute
+        # Runs of blanks, blanks at the ends and marks in the text itself need more than a split.
+        odd = [pc.match_substring(text, "  "), pc.match_substring(text, MARK), pc.starts_with(text, " "), pc.ends_with(text, " ")]
+        odd = functools.reduce(pc.or_, odd)
+        own = {i: self.chunks(text[i].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        split = pc.split_pattern(pc.if_else(odd, "", text), " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        seen = set(distinct)
+        seen.update(*own.values())
+        seen.discard("")
         new = self.kept.missing(seen)
         young, merge = self.kept.young, self.merge
+        young[""] = b""
         for c in new:
             young[c] = array("I", merge(c if c[0] == MARK else MARK + c)).tobytes()
-        if self.check and new:
-            # One text a call: calls with a list start threads of the library's own. The library puts
-            # a mark before each text itself; a mark alone would be no text to it.
-            encode = self.lib.encode
-            for c in new:
-                if c != MARK and array("I", encode(c[1:] if c[0] == MARK else c)).tobytes() != young[c]:
-                    raise ValueError(f"the library encodes {c[:80]!r} in another way")
-        out = [array("I", b"".join(map(young.__getitem__, chunks))).tolist() for chunks in split]
+        if self.check:
+            self.compare(new, young)
+        per_word = pa.array(map(young.__getitem__, distinct), pa.large_binary()).take(words.indices)
+        at = np.frombuffer(per_word.buffers()[1], np.int64)[per_word.offset :] // 4 if len(per_word) else np.zeros(1, np.int64)
+        ids = np.frombuffer(per_word.buffers()[2] or b"", np.int32)
+        edges = at[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        if own:
+            parts = [ids[a:b] for a, b in zip(edges, edges[1:])]
+            for i, chunks in own.items():
+                parts[i] = np.frombuffer(b"".join(map(young.__getitem__, chunks)), np.int32)
+            ids = np.concatenate(parts)
+            edges = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
         for c in new:
             if len(c) > CACHED_CHARS:
                 del young[c]
-        return out
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids[: edges[-1]], pa.int32()))
+
+    def encode(self, texts: list) -> list[list[int]]:
+        """The ids of each text."""
+        return _lists(self.coded(pa.array(texts, pa.string())))
+
+
+def _lists(ids: pa.ListArray) -> list[list[int]]:
+    """As Python lists; faster than to_pylist()."""
+    flat, at = ids.values.to_numpy().tolist(), ids.offsets.to_numpy().tolist()
+    return [flat[a:b] for a, b in zip(at, at[1:])]
+
+
+def _decimal(ids: pa.ListArray) -> pa.Array:
+    """Each list as decimal numbers, comma-joined."""
+    return pa.compute.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), ",")
+
+
+def _lengths(ids: pa.ListArray) -> pa.Array:
+    return pa.compute.list_value_length(ids).cast(pa.int64())
 
 
 def _coded(docs: DataFrame, model: bytes, check: bool, schema: str, rows) -> DataFrame:
@@ -143,8 +197,8 @@ def _coded(docs: DataFrame, model: bytes, check: bool, schema: str, rows) -> Dat
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                columns = rows(coder, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields))], names=["doc_id", *(n for n, _ in fields)])
+                columns = rows(coder, part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields))], names=["doc_id", *(n for n, _ in fields)])
         release()
 
     return id_text(docs).mapInArrow(run, f"doc_id long, {schema}")
@@ -155,8 +209,8 @@ def encode_pieces(docs: DataFrame, model: bytes, check: bool = True) -> DataFram
     and end ids. A null or empty text has no ids; repeated rows stay; an empty table stays empty.
     """
 
-    def rows(coder: MergeCoder, texts: list) -> list[list]:
-        return [coder.encode(texts)]
+    def rows(coder: MergeCoder, texts: pa.Array) -> list:
+        return [coder.coded(texts)]
 
     return _coded(docs, model, check, "ids array<int>", rows)
 
@@ -164,9 +218,9 @@ def encode_pieces(docs: DataFrame, model: bytes, check: bool = True) -> DataFram
 def round_trip_pieces(docs: DataFrame, model: bytes, check: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (text: decimal, comma-joined) and decoded (the library's decode(ids))."""
 
-    def rows(coder: MergeCoder, texts: list) -> list[list]:
-        ids = coder.encode(texts)
-        return [[len(x) for x in ids], [",".join(map(str, x)) for x in ids], [coder.lib.decode(x) for x in ids]]
+    def rows(coder: MergeCoder, texts: pa.Array) -> list:
+        ids = coder.coded(texts)
+        return [_lengths(ids), _decimal(ids), [coder.lib.decode(x) for x in _lists(ids)]]
 
     return _coded(docs, model, check, "n_tokens long, ids string, decoded string", rows)
 
@@ -174,9 +228,9 @@ def round_trip_pieces(docs: DataFrame, model: bytes, check: bool = True) -> Data
 def digest_pieces(docs: DataFrame, model: bytes, check: bool = True) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 (lowercase hex) of the ids' text and of the decoded text."""
 
-    def rows(coder: MergeCoder, texts: list) -> list[list]:
-        ids = coder.encode(texts)
+    def rows(coder: MergeCoder, texts: pa.Array) -> list:
+        ids = coder.coded(texts)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        return [[len(x) for x in ids], [sha(",".join(map(str, x))) for x in ids], [sha(coder.lib.decode(x)) for x in ids]]
+        return [_lengths(ids), [sha(x) for x in _decimal(ids).to_pylist()], [sha(coder.lib.decode(x)) for x in _lists(ids)]]
 
     return _coded(docs, model, check, "n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
