@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsvalue as js
 from ..functions.text import format_time
+from .dictionary import NAMES, first_name, last_name, with_names
 from .scan import BUCKET_ROWS, first_rows, row_rank
 
 SUPPORTED_FORMAT = 1
@@ -99,27 +100,19 @@ def enum_names(enums: DataFrame) -> DataFrame:
 
 def decode_value(df: DataFrame, enums: DataFrame, enum: str, code: str, out: str) -> DataFrame:
     """Add the first name of a value, "?" when the capture has none."""
-    names = (
-        enums.where(F.col("enum") == enum)
-        .groupBy("capture_id", F.col("id").cast("bigint").alias(code))
-        .agg(F.min("name").alias(out))
-    )
-    return df.join(names, ["capture_id", code], "left").withColumn(out, F.coalesce(out, F.lit("?")))
+    name = F.coalesce(first_name(F.lit(enum), F.col(code)), F.lit("?"))
+    return with_names(df, enums, [enum]).withColumn(out, name).drop(NAMES)
 
 
 def resolve_names(events: DataFrame, enums: DataFrame) -> DataFrame:
     """Add ``type_name``, ``source_type_name`` and ``phase_name``; "" when unknown."""
-    names = enum_names(enums)
-    for enum, column, out in (
-        ("logEventTypes", "type", "type_name"),
-        ("logSourceType", "source_type", "source_type_name"),
-        ("logEventPhase", "phase", "phase_name"),
-    ):
-        one = names.where(F.col("enum") == enum).select(
-            "capture_id", F.col("id").alias(column), F.col("name").alias(out)
-        )
-        events = events.join(one, ["capture_id", column], "left").withColumn(out, F.coalesce(out, F.lit("")))
-    return events
+    columns = {
+        "type_name": ("logEventTypes", "type"),
+        "source_type_name": ("logSourceType", "source_type"),
+        "phase_name": ("logEventPhase", "phase"),
+    }
+    found = {out: F.coalesce(last_name(F.lit(enum), F.col(code)), F.lit("")) for out, (enum, code) in columns.items()}
+    return with_names(events, enums, [enum for enum, _ in columns.values()]).withColumns(found).drop(NAMES)
 
 
 # --- events -----------------------------------------------------------------------

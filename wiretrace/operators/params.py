@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import jsvalue as js
 from ..functions.proxy import proxy_config_text
 from ..functions.text import hex_bytes, searchable_bytes
+from .dictionary import NAMES, first_name, flags, last_name, with_names
 
 # --- fixed values: which enum a param's number belongs to ---
 NAMED_PARAMS = {
@@ -63,11 +64,6 @@ def _applies() -> Column:
     return reduce(lambda a, b: a & b, limits)
 
 
-def first_names(enums: DataFrame) -> DataFrame:
-    """Value to name; the first name in sorted order wins."""
-    return enums.groupBy("capture_id", "enum", "id").agg(F.min("name").alias("name"))
-
-
 def decode_params(long: DataFrame, enums: DataFrame) -> DataFrame:
     """Symbolic names of error and state codes, "?" where the capture knows none."""
     coded = (
@@ -77,27 +73,15 @@ def decode_params(long: DataFrame, enums: DataFrame) -> DataFrame:
         .where("code is not null")
         .select(*EVENT_KEY, "key", "enum", "code")
     )
-    names = first_names(enums).select("capture_id", "enum", F.col("id").cast("bigint").alias("code"), "name")
-    return coded.join(names, ["capture_id", "enum", "code"], "left").select(
-        *EVENT_KEY, "key", "code", F.coalesce("name", F.lit("?")).alias("name")
-    )
-
-
-def _flag_lists(enums: DataFrame) -> DataFrame:
-    """The flags of each enum as one array in name order (an enum is a short fixed list)."""
-    return (
-        enums.where(F.col("enum").isin(*FLAG_PARAMS.values()))
-        .groupBy("capture_id", "enum")
-        .agg(F.array_sort(F.collect_list(F.struct("name", F.col("id").cast("bigint").alias("id")))).alias("flags"))
-    )
+    named = with_names(coded, enums, list(NAMED_PARAMS.values()))
+    name = F.coalesce(first_name(F.col("enum"), F.col("code")), F.lit("?"))
+    return named.select(*EVENT_KEY, "key", "code", name.alias("name"))
 
 
 def _flag_text(enum: Column, bits: Column) -> Column:
-    """The names of the bits set, from the array ``flags`` of the row."""
-    name = lambda flag: flag["name"]
-    set_bits = F.transform(F.filter("flags", lambda flag: bits.bitwiseAND(flag["id"]) != 0), name)
-    same = F.transform(F.filter("flags", lambda flag: flag["id"] == bits), name)
-    whole = F.when(enum == "loadFlag", F.coalesce(F.get(same, F.lit(0)), F.lit("?"))).otherwise(F.lit(""))
+    """The names of the bits set, from the names the row has with it."""
+    set_bits = F.transform(F.filter(flags(enum), lambda flag: bits.bitwiseAND(flag["id"]) != 0), lambda flag: flag["name"])
+    whole = F.when(enum == "loadFlag", F.coalesce(first_name(enum, bits), F.lit("?"))).otherwise(F.lit(""))
     return F.when(F.size(set_bits) > 0, F.array_join(set_bits, " | ")).otherwise(whole)
 
 
@@ -111,8 +95,8 @@ def decode_flags(long: DataFrame, enums: DataFrame) -> DataFrame:
         .where("bits is not null")
         .select(*EVENT_KEY, "key", "enum", "bits")
     )
-    joined = coded.join(_flag_lists(enums), ["capture_id", "enum"], "left")
-    return joined.select(*EVENT_KEY, "key", "bits", _flag_text(F.col("enum"), F.col("bits")).alias("names"))
+    named = with_names(coded, enums, list(FLAG_PARAMS.values()))
+    return named.select(*EVENT_KEY, "key", "bits", _flag_text(F.col("enum"), F.col("bits")).alias("names"))
 
 
 # --- text lines -------------------------------------------------------------------
@@ -199,14 +183,6 @@ def param_lines(events: DataFrame, enums: DataFrame) -> DataFrame:
     """
     long = params_long(events)
     key, value = F.col("key"), F.col("value")
-    # the enums are joined to the params themselves, not to a second copy of them
-    names = first_names(enums).select("capture_id", "enum", F.col("id").cast("bigint").alias("code"), F.col("name").alias("value_name"))
-    flags = _flag_lists(enums).withColumnRenamed("enum", "flag_enum")
-    kinds = (
-        enums.where(F.col("enum") == "logSourceType")
-        .groupBy("capture_id", F.col("id").cast("bigint").alias("dep_type"))
-        .agg(F.max("name").alias("dep_name"))
-    )
     depends = (key == "source_dependency") & js.is_object(value)
     number = lambda name: F.coalesce(js.as_int(js.field(value, name)), F.lit(0))
     rows = (
@@ -215,11 +191,16 @@ def param_lines(events: DataFrame, enums: DataFrame) -> DataFrame:
         .withColumn("code", F.when(F.coalesce("enum", "flag_enum").isNotNull(), js.as_int(value)))
         .withColumn("dep_id", F.when(depends, number("id")))
         .withColumn("dep_type", F.when(depends, number("type")))
-        .join(kinds, ["capture_id", "dep_type"], "left")
-        .join(names, ["capture_id", "enum", "code"], "left")
-        .join(flags, ["capture_id", "flag_enum"], "left")
     )
-    label = F.when(F.col("enum").isNotNull(), F.coalesce("value_name", F.lit("?"))).otherwise(_flag_text(F.col("flag_enum"), F.col("code")))
+    wanted = [*NAMED_PARAMS.values(), *FLAG_PARAMS.values(), "logSourceType"]
+    value_name = F.coalesce(first_name(F.col("enum"), F.col("code")), F.lit("?"))
+    label = F.when(F.col("enum").isNotNull(), value_name).otherwise(_flag_text(F.col("flag_enum"), F.col("code")))
+    rows = (
+        with_names(rows, enums, wanted)
+        .withColumn("label", F.when(F.col("code").isNotNull(), label))
+        .withColumn("dep_name", F.when(depends, last_name(F.lit("logSourceType"), F.col("dep_type"))))
+        .drop(NAMES)
+    )
     text = js.as_string(value)
     name = F.col("type_name")
     on_certs = name.isin(*CERTIFICATE_EVENTS)
@@ -227,7 +208,7 @@ def param_lines(events: DataFrame, enums: DataFrame) -> DataFrame:
     bracket = lambda code, label: equals(F.concat(code.cast("string"), F.lit(" ("), label, F.lit(")")))
     split_text = (on_certs & key.isin("ocsp_response", "sct_list")) | ((name == PATH_BUILT_EVENT) & (key == "errors"))
     lines = (
-        F.when(F.col("code").isNotNull(), bracket(F.col("code"), label))
+        F.when(F.col("code").isNotNull(), bracket(F.col("code"), F.col("label")))
         .when(depends, bracket(F.col("dep_id"), F.coalesce("dep_name", F.lit(""))))
         .when(key == "headers", F.coalesce(header_lines(value), equals(F.to_json(value))))
         .when(on_certs & (key == "certificates"), F.coalesce(F.flatten(F.transform(js.element_texts(value), _lines)), equals(F.to_json(value))))
