@@ -6,6 +6,8 @@ key is absent); a JSON ``null`` is a VARIANT of type VOID.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, functions as F
 
 # What a JavaScript Number() accepts in a decimal string.
@@ -13,8 +15,17 @@ _DECIMAL_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _NUMBER_TYPES = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
 
 
-def field(value: Column, key: str) -> Column:
+class Members(NamedTuple):
+    """Members of an object, taken from its VARIANT at once: the name of a struct of VARIANTs. The
+    functions below that take a member by its key take it from here as well."""
+
+    column: str
+
+
+def field(value: Column | Members, key: str) -> Column:
     """Member ``key`` of an object VARIANT, NULL when absent."""
+    if isinstance(value, Members):
+        return F.col(f"{value.column}.{key}")
     return F.try_variant_get(value, "$." + key if key.isidentifier() else f"$['{key}']", "variant")
 
 
@@ -37,12 +48,12 @@ def is_array(value: Column) -> Column:
 
 def is_object(value: Column) -> Column:
     """``typeof value === 'object'`` and not null: objects and arrays alike."""
-    return F.coalesce(F.substring(_type_text(value), 1, 5).isin("OBJEC", "ARRAY"), F.lit(False))
+    return is_map(value) | F.try_variant_get(value, "$", "array<variant>").isNotNull()
 
 
 def is_map(value: Column) -> Column:
-    """An object that is not an array."""
-    return F.coalesce(_type_text(value).startswith("OBJECT"), F.lit(False))
+    """An object that is not an array. Its members are not looked at, as its schema would have it."""
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
 
 
 def raw_double(value: Column) -> Column:
@@ -70,7 +81,7 @@ def as_int(value: Column) -> Column:
 
 def as_elements(value: Column) -> Column:
     """``array<variant>``, or NULL when the value is no array."""
-    return F.when(is_array(value), F.try_variant_get(value, "$", "array<variant>"))
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def text_to_number(text: Column) -> Column:
@@ -154,17 +165,17 @@ def truthy(value: Column) -> Column:
 # --- the getters the state tables are built from -------------------------------
 
 
-def text_or_blank(value: Column, key: str) -> Column:
+def text_or_blank(value: Column | Members, key: str) -> Column:
     """String member, "" when absent or of another type."""
     return F.coalesce(as_string(field(value, key)), F.lit(""))
 
 
-def shown(value: Column, key: str) -> Column:
+def shown(value: Column | Members, key: str) -> Column:
     """Any member as text, "" when absent."""
     return F.coalesce(to_text(field(value, key)), F.lit(""))
 
 
-def joined(value: Column, key: str) -> Column:
+def joined(value: Column | Members, key: str) -> Column:
     """Array member as ", "-joined text, "" when it is no array."""
     return F.coalesce(F.array_join(element_texts(field(value, key)), ", ", "undefined"), F.lit(""))
 

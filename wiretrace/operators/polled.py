@@ -6,17 +6,17 @@ position of the element. A capture without the snapshot gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import jsvalue as js
 from ..functions.jsvalue import field, joined, shown, text_or_blank
 from ..functions.proxy import proxy_config_text
 from ..functions.text import format_time
-from ..session import cut_lineage
+from ..session import stored
 
-Read = Callable[[Column, str], Column]
+Read = Callable[[Column | js.Members, str], Column]
 
 
 def _blob(polled: DataFrame, key: str) -> DataFrame:
@@ -27,8 +27,27 @@ def _object_blob(polled: DataFrame, key: str) -> DataFrame:
     return _blob(polled, key).where(js.is_object(F.col("blob")))
 
 
-def _elements(df: DataFrame, array: Column, *keep: str | Column) -> DataFrame:
-    return df.select("capture_id", *keep, F.posexplode(js.as_elements(array)).alias("pos", "item"))
+# the element of a list at hand
+ITEM = js.Members("item")
+
+
+def _listed(keys: Iterable[str]) -> str:
+    """Type of a list of objects of which these members are wanted; ``key: type`` names a type."""
+    return "array<struct<" + ", ".join(k if ":" in k else f"{k}: variant" for k in keys) + ">>"
+
+
+def _opened(df: DataFrame, listed: Column, *keep: str | Column) -> DataFrame:
+    # outer, since the optimizer would make the list twice more to drop rows without elements first
+    return df.select("capture_id", *keep, F.posexplode_outer(listed).alias("pos", "item")).where("pos is not null")
+
+
+def _elements(df: DataFrame, path: str, keys: Iterable[str]) -> DataFrame:
+    """One row per element of the list at ``path`` of the blob, with these members of it.
+
+    Everything a VARIANT gives out as VARIANT is built anew, so no list or element is taken whole
+    to take members of it.
+    """
+    return _opened(df, F.try_variant_get("blob", path, _listed(keys)))
 
 
 def _members(df: DataFrame, value: Column, *keep: str) -> DataFrame:
@@ -39,12 +58,12 @@ def _members(df: DataFrame, value: Column, *keep: str) -> DataFrame:
     ).select("capture_id", *keep, F.col("key").alias("name"), F.col("value").alias("item"))
 
 
-def _columns(item: Column, spec: dict[str, tuple[Read, str]]) -> list[Column]:
+def _columns(item: Column | js.Members, spec: dict[str, tuple[Read, str]]) -> list[Column]:
     return [read(item, key).alias(name) for name, (read, key) in spec.items()]
 
 
-def _table(df: DataFrame, array: Column, spec: dict[str, tuple[Read, str]]) -> DataFrame:
-    return _elements(df, array).select("capture_id", "pos", *_columns(F.col("item"), spec))
+def _table(df: DataFrame, path: str, spec: dict[str, tuple[Read, str]]) -> DataFrame:
+    return _elements(df, path, [key for _, key in spec.values()]).select("capture_id", "pos", *_columns(ITEM, spec))
 
 
 def _properties(df: DataFrame, spec: dict[str, tuple[Read, str]]) -> DataFrame:
@@ -54,12 +73,13 @@ def _properties(df: DataFrame, spec: dict[str, tuple[Read, str]]) -> DataFrame:
 
 def _wall_text(df: DataFrame, captures: DataFrame, ticks: str, out: str) -> DataFrame:
     """Replace tick numbers by wall time text ("" when there is none)."""
-    offsets = captures.select("capture_id", "time_tick_offset")
+    # no list of all captures' elements is sent to every task, however small it is taken to be
+    offsets = captures.select("capture_id", "time_tick_offset").hint("merge")
     text = F.coalesce(format_time(F.col("time_tick_offset") + F.col(ticks)), F.lit(""))
     return df.join(offsets, "capture_id").withColumn(out, text).drop("time_tick_offset", *([ticks] if ticks != out else []))
 
 
-def _number(value: Column, key: str) -> Column:
+def _number(value: Column | js.Members, key: str) -> Column:
     return js.as_number(field(value, key))
 
 
@@ -82,11 +102,12 @@ def proxy_settings(polled: DataFrame) -> DataFrame:
 
 def bad_proxies(polled: DataFrame, captures: DataFrame) -> DataFrame:
     with_settings = _object_blob(polled, "proxySettings").select("capture_id").distinct()
-    rows = _elements(_blob(polled, "badProxies").join(with_settings, "capture_id", "left_semi"), F.col("blob")).select(
+    blobs = _blob(polled, "badProxies").join(with_settings, "capture_id", "left_semi")
+    rows = _elements(blobs, "$", ("proxy_chain_uri", "bad_until")).select(
         "capture_id",
         "pos",
-        text_or_blank(F.col("item"), "proxy_chain_uri").alias("proxy_chain_uri"),
-        _number(F.col("item"), "bad_until").alias("ticks"),
+        text_or_blank(ITEM, "proxy_chain_uri").alias("proxy_chain_uri"),
+        _number(ITEM, "bad_until").alias("ticks"),
     )
     return _wall_text(rows, captures, "ticks", "bad_until")
 
@@ -115,9 +136,10 @@ def dns_config(polled: DataFrame) -> DataFrame:
 
 
 def host_cache(polled: DataFrame, captures: DataFrame) -> DataFrame:
-    item = F.col("item")
+    item = ITEM
     endpoints = joined(item, "ip_endpoints")
-    rows = _elements(_resolver(polled), field(field(F.col("blob"), "cache"), "entries")).select(
+    keys = ("hostname", "address_family", "ip_endpoints", "addresses", "ttl", "expiration", "network_changes")
+    rows = _elements(_resolver(polled), "$.cache.entries", keys).select(
         "capture_id",
         "pos",
         text_or_blank(item, "hostname").alias("hostname"),
@@ -133,28 +155,30 @@ def host_cache(polled: DataFrame, captures: DataFrame) -> DataFrame:
 # --- sockets ----------------------------------------------------------------------
 
 
+_POOL = ("name", "type", "handed_out_socket_count", "idle_socket_count", "connecting_socket_count", "max_socket_count",
+         "max_sockets_per_group", "pool_generation_number", "groups")
+
+
 def _all_pools(polled: DataFrame) -> DataFrame:
-    """Pools with their nested pools, ``path`` giving parent-before-children order."""
-    item = F.col("item")
-    level = _elements(_blob(polled, "socketPoolInfo"), F.col("blob")).select(
-        "capture_id", F.array("pos").alias("path"), item
-    )
-    found = []
+    """Pools with their nested pools, ``path`` giving parent-before-children order.
+
+    Levels are stored one by one, so that the snapshots are made and read once.
+    """
+    keys = [*_POOL, "nested_pools: array<variant>"]
+    level = _opened(_blob(polled, "socketPoolInfo"), F.try_variant_get("blob", "$", _listed(keys)))
+    level = stored(level.select("capture_id", F.array("pos").alias("path"), "item"), "pools")
+    pools = level
     while True:
-        level = cut_lineage(level)
+        inner = level.where(F.size("item.nested_pools") > 0).select("capture_id", "path", F.posexplode("item.nested_pools").alias("pos", "pool"))
+        item = F.try_variant_get("pool", "$", _listed(keys)[len("array<") : -1])
+        level = stored(inner.select("capture_id", F.concat("path", F.array("pos")).alias("path"), item.alias("item")), "pools")
         if level.isEmpty():
-            break
-        found.append(level)
-        inner = _elements(level, field(item, "nested_pools"), "path")
-        level = inner.select("capture_id", F.concat("path", F.array("pos")).alias("path"), "item")
-    pools = level
-    for part in found:
-        pools = pools.unionByName(part)
-    return pools
+            return pools
+        pools = pools.unionByName(level)
 
 
 def socket_pools(polled: DataFrame) -> DataFrame:
-    item = F.col("item")
+    item = ITEM
     spec = {
         "handed_out": (shown, "handed_out_socket_count"),
         "idle": (shown, "idle_socket_count"),
@@ -177,8 +201,8 @@ def socket_groups(polled: DataFrame) -> DataFrame:
         "backup_timer": (shown, "backup_job_timer_is_running"),
         "stalled": (shown, "is_stalled"),
     }
-    pools = _all_pools(polled).withColumn("pool", text_or_blank(F.col("item"), "name"))
-    groups = _members(pools, field(F.col("item"), "groups"), "path", "pool")
+    pools = _all_pools(polled).withColumn("pool", text_or_blank(ITEM, "name"))
+    groups = _members(pools, field(ITEM, "groups"), "path", "pool")
     return groups.select("capture_id", "path", "pool", F.col("name").alias("group"), *_columns(F.col("item"), spec))
 
 
@@ -211,7 +235,7 @@ def stream_pool_groups(polled: DataFrame) -> DataFrame:
 
 def alt_svc(polled: DataFrame) -> DataFrame:
     spec = {"server": (text_or_blank, "server"), "alternative_service": (text_or_blank, "alternative_service")}
-    return _table(_blob(polled, "altSvcMappings"), F.col("blob"), spec)
+    return _table(_blob(polled, "altSvcMappings"), "$", spec)
 
 
 def _http2_captures(polled: DataFrame, key: str, other: str, object_key: str) -> DataFrame:
@@ -244,7 +268,7 @@ def http2_sessions(polled: DataFrame) -> DataFrame:
         "recv_window": (shown, "recv_window_size"),
         "error": (shown, "error"),
     }
-    return _table(_http2_captures(polled, "spdySessionInfo", "spdyStatus", "spdyStatus"), F.col("blob"), spec)
+    return _table(_http2_captures(polled, "spdySessionInfo", "spdyStatus", "spdyStatus"), "$", spec)
 
 
 def quic_status(polled: DataFrame) -> DataFrame:
@@ -272,7 +296,7 @@ def quic_sessions(polled: DataFrame) -> DataFrame:
         "received": (shown, "packets_received"),
         "connected": (shown, "connected"),
     }
-    return _table(_object_blob(polled, "quicInfo"), field(F.col("blob"), "sessions"), spec)
+    return _table(_object_blob(polled, "quicInfo"), "$.sessions", spec)
 
 
 # --- reporting --------------------------------------------------------------------
@@ -280,11 +304,11 @@ def quic_sessions(polled: DataFrame) -> DataFrame:
 NETWORK_KEYS = ("network_anonymization_key", "network_isolation_key", "NetworkAnonymizationKey", "networkIsolationKey")
 
 
-def _network_key(value: Column) -> Column:
+def _network_key(value: Column | js.Members) -> Column:
     return F.coalesce(*[js.to_text(field(value, k)) for k in NETWORK_KEYS], F.lit(""))
 
 
-def _yes_no(value: Column, key: str) -> Column:
+def _yes_no(value: Column | js.Members, key: str) -> Column:
     return F.when(js.truthy(field(value, key)), F.lit("yes")).otherwise(F.lit("no"))
 
 
@@ -294,7 +318,7 @@ def _reporting(polled: DataFrame) -> DataFrame:
 
 def _with_expiry(rows: DataFrame, captures: DataFrame) -> DataFrame:
     """``expires`` as text and ``expired`` against the capture's export date."""
-    scalars = captures.select("capture_id", "time_tick_offset", "numeric_date_ms")
+    scalars = captures.select("capture_id", "time_tick_offset", "numeric_date_ms").hint("merge")
     wall = F.col("time_tick_offset") + F.col("ticks")
     return (
         rows.join(scalars, "capture_id")
@@ -306,19 +330,20 @@ def _with_expiry(rows: DataFrame, captures: DataFrame) -> DataFrame:
 
 def reporting_reports(polled: DataFrame, captures: DataFrame) -> DataFrame:
     """Queued reports with status text; network errors show their type and status code."""
-    item = F.col("item")
+    item = ITEM
     count = lambda key: F.when(_number(item, key) > 0.0, js.as_int(field(item, key)).cast("string"))
     extra = lambda label, key: F.coalesce(F.concat(F.lit(f", {label}: "), count(key)), F.lit(""))
     status = F.concat(
         text_or_blank(item, "status"), F.lit(" ("), text_or_blank(item, "group"),
         extra("depth", "depth"), extra("attempts", "attempts"), F.lit(")"),
     )
-    body = field(item, "body")
+    body = js.Members("item.body")
     code = F.when(_number(body, "status_code") != 0.0, js.as_int(field(body, "status_code")).cast("string"))
     content = F.concat(
         text_or_blank(body, "type"), F.coalesce(F.concat(F.lit(" ("), code, F.lit(")")), F.lit(""))
     )
-    rows = _elements(_reporting(polled), field(F.col("blob"), "reports")).select(
+    members = ("queued", "url", "status", "group", "depth", "attempts", "type", *NETWORK_KEYS)
+    rows = _elements(_reporting(polled), "$.reports", [*members, "body: struct<type: variant, status_code: variant>"]).select(
         "capture_id",
         "pos",
         _number(item, "queued").alias("ticks"),
@@ -331,41 +356,45 @@ def reporting_reports(polled: DataFrame, captures: DataFrame) -> DataFrame:
     return _wall_text(rows, captures, "ticks", "queued")
 
 
+_COUNTS = "struct<uploads: variant, reports: variant>"
+_ENDPOINTS = _listed(["url", "priority", "weight", f"successful: {_COUNTS}", f"failed: {_COUNTS}"])
+_GROUPS = _listed(["name", "includeSubdomains", "expires", f"endpoints: {_ENDPOINTS}"])
+
+
 def _endpoints(polled: DataFrame) -> DataFrame:
     """Clients, their groups, their endpoints: one row per endpoint.
 
     What is shown of a client or group is taken before its list is opened, so that only
     that goes along, and the list itself.
     """
-    item = F.col("item")
-    clients = _elements(_reporting(polled), field(F.col("blob"), "clients")).select(
+    clients = _elements(_reporting(polled), "$.clients", ["origin", *NETWORK_KEYS, f"groups: {_GROUPS}"]).select(
         "capture_id",
         F.col("pos").alias("client_pos"),
-        text_or_blank(item, "origin").alias("origin"),
-        _network_key(item).alias("network_key"),
-        field(item, "groups").alias("groups"),
+        text_or_blank(ITEM, "origin").alias("origin"),
+        _network_key(ITEM).alias("network_key"),
+        F.col("item.groups").alias("groups"),
     )
     client = ("client_pos", "origin", "network_key")
-    groups = _elements(clients, F.col("groups"), *client).select(
+    groups = _opened(clients, F.col("groups"), *client).select(
         "capture_id",
         *client,
         F.col("pos").alias("group_pos"),
-        text_or_blank(item, "name").alias("group"),
-        _yes_no(item, "includeSubdomains").alias("subdomains"),
-        _number(item, "expires").alias("ticks"),
-        field(item, "endpoints").alias("endpoints"),
+        text_or_blank(ITEM, "name").alias("group"),
+        _yes_no(ITEM, "includeSubdomains").alias("subdomains"),
+        _number(ITEM, "expires").alias("ticks"),
+        F.col("item.endpoints").alias("endpoints"),
     )
-    return _elements(groups, F.col("endpoints"), *client, "group_pos", "group", "subdomains", "ticks")
+    return _opened(groups, F.col("endpoints"), *client, "group_pos", "group", "subdomains", "ticks")
 
 
-def _uploads(counts: Column) -> Column:
+def _uploads(counts: js.Members) -> Column:
     number = lambda key: F.coalesce(js.as_int(field(counts, key)), F.lit(0))
     text = F.concat(number("uploads").cast("string"), F.lit(" ("), number("reports").cast("string"), F.lit(")"))
     return F.when((number("uploads") == 0) & (number("reports") == 0), F.lit("-")).otherwise(text)
 
 
 def reporting_endpoints(polled: DataFrame, captures: DataFrame) -> DataFrame:
-    item = F.col("item")
+    item = ITEM
     rows = _endpoints(polled).select(
         "capture_id",
         "client_pos",
@@ -375,8 +404,8 @@ def reporting_endpoints(polled: DataFrame, captures: DataFrame) -> DataFrame:
         text_or_blank(item, "url").alias("url"),
         F.coalesce(js.to_text(field(item, "priority")), F.lit("0")).alias("priority"),
         F.coalesce(js.to_text(field(item, "weight")), F.lit("1")).alias("weight"),
-        _uploads(field(item, "successful")).alias("uploads_succeeded"),
-        _uploads(field(item, "failed")).alias("uploads_failed"),
+        _uploads(js.Members("item.successful")).alias("uploads_succeeded"),
+        _uploads(js.Members("item.failed")).alias("uploads_failed"),
     )
     return _with_expiry(rows, captures)
 
@@ -384,15 +413,16 @@ def reporting_endpoints(polled: DataFrame, captures: DataFrame) -> DataFrame:
 def client_row_counts(polled: DataFrame) -> DataFrame:
     """Endpoints per reporting client, and of the capture in total."""
     per_client = _endpoints(polled).groupBy("capture_id", "client_pos").agg(F.count("*").alias("endpoints"))
-    total = per_client.groupBy("capture_id").agg(F.sum("endpoints").alias("total_endpoints"))
-    return per_client.join(total, "capture_id")
+    # a window, not a join, which would open all lists twice; a capture has few clients
+    total = F.sum("endpoints").over(Window.partitionBy("capture_id"))
+    return per_client.where("capture_id is not null").withColumn("total_endpoints", total)
 
 
 def nel_policies(polled: DataFrame, captures: DataFrame) -> DataFrame:
-    item = F.col("item")
+    item = ITEM
     share = lambda key: F.format_string("%.2f%%", F.coalesce(_number(item, key), F.lit(0.0)) * 100.0)
-    policies = field(field(F.col("blob"), "networkErrorLogging"), "originPolicies")
-    rows = _elements(_reporting(polled), policies).select(
+    keys = ("origin", "includeSubdomains", "expires", "reportTo", *NETWORK_KEYS, "successFraction", "failureFraction")
+    rows = _elements(_reporting(polled), "$.networkErrorLogging.originPolicies", keys).select(
         "capture_id",
         "pos",
         text_or_blank(item, "origin").alias("origin"),
@@ -422,7 +452,7 @@ NAMESPACE_NAMES = {
 }
 
 
-def _coded(value: Column, key: str, names: dict[str, str]) -> Column:
+def _coded(value: Column | js.Members, key: str, names: dict[str, str]) -> Column:
     raw = shown(value, key)
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return F.coalesce(F.element_at(table, raw), raw)
@@ -444,34 +474,32 @@ def extensions(polled: DataFrame) -> DataFrame:
         "version": (text_or_blank, "version"),
         "description": (text_or_blank, "description"),
     }
-    return _table(_blob(polled, "extensionInfo"), F.col("blob"), spec)
+    return _table(_blob(polled, "extensionInfo"), "$", spec)
 
 
 def service_providers(polled: DataFrame) -> DataFrame:
     """Layered (``kind`` Layer, Base, Chain) and namespace providers in one table."""
-    item = F.col("item")
+    item = ITEM
     info = _object_blob(polled, "serviceProviders")
     chain = F.coalesce(js.as_int(field(item, "chain_length")), F.lit(0))
     kind = F.when(chain == 0, F.lit("Layer")).when(chain == 1, F.lit("Base")).otherwise(F.lit("Chain"))
     common = ["capture_id", "pos", text_or_blank(item, "name").alias("name"), shown(item, "version").alias("version")]
-    none = lambda name: F.lit(None).cast("string").alias(name)
-    layered = _elements(info, field(F.col("blob"), "service_providers")).select(
-        F.lit("service").alias("provider"),
-        *common,
-        kind.alias("kind"),
-        _coded(item, "socket_type", SOCKET_TYPE_NAMES).alias("socket_type"),
-        _coded(item, "socket_protocol", PROTOCOL_NAMES).alias("protocol"),
-        none("active"),
-    )
-    namespaces = _elements(info, field(F.col("blob"), "namespace_providers")).select(
-        F.lit("namespace").alias("provider"),
+    # both lists are opened together, so that the snapshot is made and read once
+    listed = _listed(("name", "version", "chain_length", "socket_type", "socket_protocol", "type", "active"))
+    each = F.array(*[
+        F.struct(F.lit(n).alias("provider"), F.try_variant_get("blob", f"$.{n}_providers", listed).alias("items"))
+        for n in ("service", "namespace")
+    ])
+    rows = _opened(info.select("capture_id", F.inline(each)), F.col("items"), "provider")
+    layer = F.col("provider") == "service"
+    return rows.select(
+        "provider",
         *common,
-        _coded(item, "type", NAMESPACE_NAMES).alias("kind"),
-        none("socket_type"),
-        none("protocol"),
-        shown(item, "active").alias("active"),
+        F.when(layer, kind).otherwise(_coded(item, "type", NAMESPACE_NAMES)).alias("kind"),
+        F.when(layer, _coded(item, "socket_type", SOCKET_TYPE_NAMES)).alias("socket_type"),
+        F.when(layer, _coded(item, "socket_protocol", PROTOCOL_NAMES)).alias("protocol"),
+        F.when(~layer, shown(item, "active")).alias("active"),
     )
-    return layered.unionByName(namespaces)
 
 
 def prerender_status(polled: DataFrame) -> DataFrame:
@@ -485,7 +513,7 @@ def prerender_status(polled: DataFrame) -> DataFrame:
 
 def prerender_active(polled: DataFrame) -> DataFrame:
     spec = {"url": (text_or_blank, "url"), "duration": (text_or_blank, "duration"), "loaded": (shown, "is_loaded")}
-    return _table(_object_blob(polled, "prerenderInfo"), field(F.col("blob"), "active"), spec)
+    return _table(_object_blob(polled, "prerenderInfo"), "$.active", spec)
 
 
 def prerender_history(polled: DataFrame) -> DataFrame:
@@ -496,4 +524,4 @@ def prerender_history(polled: DataFrame) -> DataFrame:
         "final_status": (text_or_blank, "final_status"),
         "end_time": (moment, "end_time"),
     }
-    return _table(_object_blob(polled, "prerenderInfo"), field(F.col("blob"), "history"), spec)
+    return _table(_object_blob(polled, "prerenderInfo"), "$.history", spec)
