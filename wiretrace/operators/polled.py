@@ -37,7 +37,7 @@ def _listed(keys: Iterable[str]) -> str:
 
 
 def _opened(df: DataFrame, listed: Column, *keep: str | Column) -> DataFrame:
-    # outer, since the optimizer would make the list twice more to drop rows without elements first
+    # outer, so that no filter on the list can be inferred, which would make it again
     return df.select("capture_id", *keep, F.posexplode_outer(listed).alias("pos", "item")).where("pos is not null")
 
 
