@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 
-from .common import TwoGenerations, id_text, release, worker_cache
+from .common import TwoGenerations, id_text, large_object, release
 
 MARK = "▁"
 #: chunks kept twice over (see TwoGenerations), at about 150 bytes each in every Python worker
@@ -193,7 +193,7 @@ def _coded(docs: DataFrame, model: bytes, check: bool, schema: str, rows) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"pieces_{zlib.crc32(spec.value)}_{check}"
-        coder = worker_cache(name, lambda: MergeCoder(spec.value, check))
+        coder = large_object(name, lambda: MergeCoder(spec.value, check))
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)

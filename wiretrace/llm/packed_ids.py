@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, id_text, worker_cache
+from .common import TwoGenerations, id_text, large_object
 
 MAGIC = b"WTPACK01"
 #: magic, bits an id, ids a block, documents, ids, first id's place in its range
@@ -199,7 +199,7 @@ def write_packed_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: in
     edges, spec = _edges(docs), spark.sparkContext.broadcast(tokenizer_json)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_cache(f"words_{zlib.crc32(spec.value.encode())}_{kind[1:]}", lambda: WordEncoder(spec.value, kind))
+        coder = large_object(f"words_{zlib.crc32(spec.value.encode())}_{kind[1:]}", lambda: WordEncoder(spec.value, kind))
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)

@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, worker_cache
+from .common import id_text, large_object
 from .words import NOT_ALNUM, U, Words, grams, mix, pieces, spans_hash
 
 SHINGLE = 5
@@ -96,7 +96,7 @@ class Index:
     known_weight: np.ndarray
     size_first: np.ndarray  # for each known shingle where its run of item_sizes begins
     item_sizes: np.ndarray  # the sizes of the items that hold a shingle, each once
-    lists: list[list[np.ndarray]]  # of each part, for each value, items within reach
+    lists: list[tuple[np.ndarray, np.ndarray]]  # of each part, where each value's items within reach begin, and the items
 
     @staticmethod
     def build(ids: list, texts: list[str], held: dict[int, int] | None = None) -> Index:
@@ -139,7 +139,8 @@ class Index:
             for v in values:
                 near = distinct[np.bitwise_count(distinct ^ v) <= RADIUS // PARTS]
                 found.append(np.concatenate([groups[int(x)] for x in near]) if len(near) else np.zeros(0, np.int64))
-            lists.append(found)
+            ends = np.cumsum([0, *map(len, found)])
+            lists.append((ends, np.concatenate(found).astype(np.int32)))
         return Index(ids, sizes, prints, shingles, weight, common, common_weight, known, np.array([weight[int(k)] for k in known]), size_first, item_sizes, lists)
 
     def weights(self, hashes: np.ndarray) -> np.ndarray:
@@ -150,7 +151,10 @@ class Index:
 
     def near(self, fp: np.uint64) -> np.ndarray:
         """Items within RADIUS bits of a fingerprint."""
-        found = [lists[int((fp >> U(shift)) & U((1 << bits) - 1))] for (shift, bits), lists in zip(_parts(), self.lists)]
+        found = []
+        for (shift, bits), (first, items) in zip(_parts(), self.lists):
+            v = int((fp >> U(shift)) & U((1 << bits) - 1))
+            found.append(items[first[v] : first[v + 1]])
         items = np.unique(np.concatenate(found))
         return items[np.bitwise_count(self.prints[items] ^ fp) <= RADIUS]
 
@@ -249,15 +253,6 @@ def benchmark_indexes(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return out
 
 
-def _loaded(name: str, data: bytes) -> Index:
-    """The index, unpacked once in a worker; the one before it is let go."""
-    kept = worker_cache("window_index", dict)
-    if name not in kept:
-        kept.clear()
-        kept[name] = pickle.loads(data)
-    return kept[name]
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, digest: bool = False) -> DataFrame:
     """doc_id, item_id, start (word), n_words, similarity: for every document and item the window
     of the item's size that is most alike (the earliest of equals), if it is at least
@@ -278,8 +273,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMIL
         shared = spark.sparkContext.broadcast(cloudpickle.dumps(index))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            index = _loaded(name, shared.value)
-            for part in pieces(batches, 1):
+            index = large_object(f"window_index_{name}", lambda: pickle.loads(shared.value))
+            for part in pieces(batches, 1, large=True):
                 hits = sorted(_leaks(part.column(1), index, threshold))
                 rows = pa.array([h[0] for h in hits], pa.int64())
                 yield pa.RecordBatch.from_arrays(

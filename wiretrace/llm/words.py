@@ -7,13 +7,14 @@ hashed one by one.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
-from .common import release, worker_cache
+from .common import let_go, release, worker_cache
 
 U = np.uint64
 LONG = 256
@@ -28,10 +29,14 @@ _LOWER[65:91] += 32
 _BASE, _STEP = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93 | 1)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: int, size: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about ``size`` bytes of text."""
+def pieces(batches: Iterator[pa.RecordBatch], *texts: int, size: int = PIECE, large: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of text, over all of the columns ``texts``.
+    Unless the task has a ``large`` object of its own, what another one has left is let go first."""
+    if not large:
+        let_go()
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        sizes = [pa.compute.fill_null(pa.compute.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False) for k in texts]
+        lengths = functools.reduce(np.add, (x.astype(np.int64) for x in sizes))
         at, held = 0, 0
         for i, n in enumerate(lengths):
             if held and held + n > size:
@@ -53,16 +58,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(name: str, base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^0 .. base^n modulo 2^64, and their inverses."""
     kept = worker_cache("powers", dict)
-    if name not in kept or len(kept[name][0]) <= n:
-        size = max(n + 1, 1 << 16)
-        inverse = U(pow(int(base), -1, 1 << 64))
-        made = []
-        for b in (base, inverse):
-            x = np.full(size, b, U)
-            x[0] = 1
-            made.append(np.multiply.accumulate(x))
+    if name in kept and len(kept[name][0]) > n:
+        return kept[name]
+    size = max(n + 1, 1 << 16)
+    inverse = U(pow(int(base), -1, 1 << 64))
+    made = []
+    for b in (base, inverse):
+        x = np.full(size, b, U)
+        x[0] = 1
+        made.append(np.multiply.accumulate(x))
+    # those of a text longer than a piece are many times its size, and few texts need them again
+    if n <= 2 * PIECE:
         kept[name] = tuple(made)
-    return kept[name]
+    return tuple(made)
 
 
 class Words:
